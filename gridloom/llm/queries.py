@@ -29,7 +29,23 @@ SELECT doc_id, source, CAST(i AS INTEGER) AS copy, md5('mix-1:order:' || CAST(do
 FROM n, range(0, 60) t(i) WHERE i < n
 """
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.tokens import count_tokens, public_path
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, public_path("byte_bpe_50k.json"), limit=1024)
+
+
+def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.packing import pack, pieces_digest
+    from gridloom.llm.tokens import public_path
+
+    return pieces_digest(pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json")))
+
+
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op5_curve_packing": op5_curve_packing,
     "op10_poisson_mix": op10_poisson_mix,
 }
 ORACLES = {
