@@ -43,9 +43,22 @@ def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_digest(pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json")))
 
 
+def op9_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from gridloom.llm._common import shared_dir
+    from gridloom.llm.repair import read_shards, write_shards
+    from gridloom.llm.tokens import public_path
+
+    path = f"{shared_dir(spark)}/repair-{uuid.uuid4().hex}"
+    write_shards(table(spark, sf_dir, "documents"), path, public_path("word_bpe_49k.json"), end_id=2)
+    return read_shards(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op5_curve_packing": op5_curve_packing,
+    "op9_repair_files": op9_repair_files,
     "op10_poisson_mix": op10_poisson_mix,
 }
 ORACLES = {

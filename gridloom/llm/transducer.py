@@ -36,8 +36,8 @@ HERE, BEFORE = 1, 2  # marks: a piece begins at this character, at the one befor
 def char_classes(split=None) -> np.ndarray:
     """Class of every code point, by Unicode properties.
 
-    split, a tokenizer's pre_tokenize_str, settles code points that its older Unicode tables don't know yet:
-    between "a" and "1", a letter makes "a?", "1" and a number "a", "?1".
+    split, a tokenizer's pre_tokenize_str, settles code points that its older Unicode tables don't know yet: no
+    piece begins there after a hyphen.
     """
     import regex
 
@@ -50,13 +50,11 @@ def char_classes(split=None) -> np.ndarray:
         for c in chars:
             table[ord(c)] = kind
     if split:
-        named = np.flatnonzero((table == LETTER) | (table == NUMBER)).tolist()
-        probe = "".join(f" a{chr(c)}1" for c in named)
-        begins = np.zeros(len(probe) + 1, bool)
+        named = np.flatnonzero((table == LETTER) | (table == NUMBER))
+        probe = "".join(f" -{chr(c)}-" for c in named.tolist())
+        begins = np.zeros(len(probe), bool)
         begins[[a for _, (a, _) in split(probe)]] = True
-        alone = begins[2::4][: len(named)] & begins[3::4]
-        table[np.array(named)[alone & (table[named] == LETTER)]] = OTHER
-        table[np.array(named)[alone & (table[named] == NUMBER)]] = OTHER
+        table[named[~begins[2::4]]] = OTHER
     return table
 
 
