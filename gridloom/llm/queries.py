@@ -29,6 +29,19 @@ SELECT doc_id, source, CAST(i AS INTEGER) AS copy, md5('mix-1:order:' || CAST(do
 FROM n, range(0, 60) t(i) WHERE i < n
 """
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.dedup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+"""
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.tokens import count_tokens, public_path
 
@@ -56,11 +69,13 @@ def op9_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
     "op5_curve_packing": op5_curve_packing,
     "op9_repair_files": op9_repair_files,
     "op10_poisson_mix": op10_poisson_mix,
 }
 ORACLES = {
+    "op1_exact_dedup": OP1_SQL,
     "op10_poisson_mix": OP10_SQL,
 }
