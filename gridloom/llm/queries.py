@@ -56,6 +56,12 @@ def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_digest(pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json")))
 
 
+def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.audio import audio_columns
+
+    return audio_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_media=False)
+
+
 def op9_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
     "op5_curve_packing": op5_curve_packing,
+    "op6_telephony_audio": op6_telephony_audio,
     "op9_repair_files": op9_repair_files,
     "op10_poisson_mix": op10_poisson_mix,
 }
