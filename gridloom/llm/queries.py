@@ -49,6 +49,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.quality import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.packing import pack, pieces_digest
     from gridloom.llm.tokens import public_path
@@ -77,6 +85,7 @@ def op9_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_quality": op3_quality,
     "op5_curve_packing": op5_curve_packing,
     "op6_telephony_audio": op6_telephony_audio,
     "op9_repair_files": op9_repair_files,
