@@ -70,6 +70,12 @@ def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_media=False)
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -88,6 +94,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op5_curve_packing": op5_curve_packing,
     "op6_telephony_audio": op6_telephony_audio,
+    "op8_main_text": op8_main_text,
     "op9_repair_files": op9_repair_files,
     "op10_poisson_mix": op10_poisson_mix,
 }
