@@ -57,6 +57,32 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.linededup import drop_repeated_runs
+
+    return drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP4_SQL = r"""
+WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(parts) AS raw, unnest(range(len(parts))) AS line FROM t),
+s AS (SELECT doc_id, line, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s FROM l),
+f AS (SELECT doc_id, line, s, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos,
+             len(regexp_split_to_array(s, '[\x20\x09-\x0D]+')) AS w FROM s WHERE s <> ''),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM f),
+r AS (SELECT a.doc_id, a.pos AS p1, min(b.pos) AS p2 FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto >= a.upto - a.w + 50 GROUP BY 1, 2
+      UNION
+      SELECT b.doc_id, max(a.pos), b.pos FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto >= a.upto - a.w + 50 GROUP BY b.doc_id, b.pos),
+n AS (SELECT r.doc_id, p1, p2, string_agg(s, chr(10) ORDER BY pos) AS body FROM r JOIN c ON c.doc_id = r.doc_id AND pos BETWEEN p1 AND p2 GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, p1) AS nth FROM n),
+g AS (SELECT DISTINCT c.doc_id, c.line FROM k JOIN c ON c.doc_id = k.doc_id AND c.pos BETWEEN p1 AND p2 WHERE nth > 1),
+o AS (SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.line) AS text FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.line = l.line WHERE g.line IS NULL GROUP BY 1)
+SELECT t.doc_id, CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, CAST(len(parts) AS INTEGER) AS n_lines,
+       CAST((SELECT count(*) FROM g WHERE g.doc_id = t.doc_id) AS INTEGER) AS removed_lines
+FROM t LEFT JOIN o ON o.doc_id = t.doc_id
+"""
+
+
 def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.packing import pack, pieces_digest
     from gridloom.llm.tokens import public_path
@@ -92,6 +118,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
+    "op4_line_dedup": op4_line_dedup,
     "op5_curve_packing": op5_curve_packing,
     "op6_telephony_audio": op6_telephony_audio,
     "op8_main_text": op8_main_text,
@@ -100,5 +127,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
+    "op4_line_dedup": OP4_SQL,
     "op10_poisson_mix": OP10_SQL,
 }
