@@ -96,6 +96,12 @@ def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_media=False)
 
 
+def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.jaccard import near_components
+
+    return near_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.html import extract
 
@@ -121,6 +127,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_curve_packing": op5_curve_packing,
     "op6_telephony_audio": op6_telephony_audio,
+    "op7_jaccard_components": op7_jaccard_components,
     "op8_main_text": op8_main_text,
     "op9_repair_files": op9_repair_files,
     "op10_poisson_mix": op10_poisson_mix,
