@@ -32,52 +32,60 @@ ROUNDS, RULES_A_ROUND, LEAST_COUNT, BINS = 6, 2500, 8, 1 << 18
 SHARD_IDS = 1_000_000
 
 
-def frequent_pairs(seq: np.ndarray, most: int) -> np.ndarray:
-    """Up to `most` pairs (left << 32 | right) that occur LEAST_COUNT times, most frequent first, smaller pairs first on ties.
+def bins_of(seq: np.ndarray) -> np.ndarray:
+    """A bin for each pair of neighbours."""
+    return (seq[:-1] * 40503 + seq[1:]) & (BINS - 1)
 
-    Pairs are counted in hashed bins first. A pair's count is at most its bin's, so the `most` fullest bins hold
-    candidates enough, and only their pairs are sorted.
+
+def frequent_pairs(seq: np.ndarray, bins: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right symbols of up to `most` pairs that occur LEAST_COUNT times, most frequent first, smaller pairs first on ties, one pair a bin.
+
+    Pairs are counted in their bins first. A pair's count is at most its bin's, so the `most` fullest bins hold candidates
+    enough, and only their pairs are sorted. A pair that shares a bin with a more frequent one waits for a later round.
     """
-    bins = (seq[:-1] * 40503 + seq[1:]) & (BINS - 1)
     filled = np.bincount(bins, minlength=BINS)
     floor = max(LEAST_COUNT, int(np.partition(filled, -most)[-most]))
     some = np.flatnonzero((filled >= floor)[bins])
-    keys, counts = np.unique(seq[some] << 32 | seq[some + 1], return_counts=True)
+    keys, counts = np.unique(seq[some].astype(np.int64) << 32 | seq[some + 1], return_counts=True)
     keys, counts = keys[counts >= LEAST_COUNT], counts[counts >= LEAST_COUNT]
-    return keys[np.lexsort((keys, -counts))[:most]]
+    keys = keys[np.lexsort((keys, -counts))[:most]]
+    left, right = keys >> 32, keys & 0xFFFFFFFF
+    _, lead = np.unique((left * 40503 + right) & (BINS - 1), return_index=True)
+    lead.sort()
+    return left[lead], right[lead]
 
 
 def compress(ids: np.ndarray, terminals: int, room: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, left, right): each round gives the most frequent pairs a nonterminal and replaces them left to right."""
-    seq, left, right = ids.astype(np.int64), [], []
+    seq, lefts, rights = ids.astype(np.int32), [], []
     first = terminals
     for _ in range(ROUNDS):
-        if len(seq) < 2:
+        most = min(RULES_A_ROUND, max(room, terminals + 1) - first)
+        if len(seq) < 2 or most <= 0:
             break
-        keys = frequent_pairs(seq, min(RULES_A_ROUND, max(room, terminals + 1) - first))
-        if not len(keys):
+        bins = bins_of(seq)
+        left, right = (x.astype(np.int32) for x in frequent_pairs(seq, bins, most))
+        if not len(left):
             break
-        ranked = np.sort(keys)
-        pairs = seq[:-1] << 32 | seq[1:]
-        at = np.minimum(np.searchsorted(ranked, pairs), len(ranked) - 1)
-        hit = ranked[at] == pairs
+        rule_of = np.full(BINS, -1, np.int32)
+        rule_of[(left * 40503 + right) & (BINS - 1)] = np.arange(len(left))
+        where = np.flatnonzero(rule_of[bins] >= 0)
+        rule = rule_of[bins[where]]
+        hit = (left[rule] == seq[where]) & (right[rule] == seq[where + 1])
+        where, rule = where[hit], rule[hit]
         # Of a run of overlapping hits, every second one is replaced.
-        where = np.flatnonzero(hit)
-        if not len(where):
-            break
         head = np.concatenate([[True], np.diff(where) > 1])
-        run = np.maximum.accumulate(np.where(head, np.arange(len(where)), 0))
-        where = where[(np.arange(len(where)) - run) % 2 == 0]
-        out = seq.copy()
-        out[where] = first + at[where]
+        place = np.arange(len(where))
+        pick = (place - np.maximum.accumulate(np.where(head, place, 0))) % 2 == 0
+        seq[where[pick]] = first + rule[pick]
         keep = np.ones(len(seq), bool)
-        keep[where + 1] = False
-        seq = out[keep]
-        left.append(ranked >> 32)
-        right.append(ranked & 0xFFFFFFFF)
-        first += len(ranked)
-    none = np.zeros(0, np.int64)
-    return seq, np.concatenate(left or [none]), np.concatenate(right or [none])
+        keep[where[pick] + 1] = False
+        seq = seq[keep]
+        lefts.append(left)
+        rights.append(right)
+        first += len(left)
+    none = np.zeros(0, np.int32)
+    return seq, np.concatenate(lefts or [none]), np.concatenate(rights or [none])
 
 
 def expansion_lengths(left: np.ndarray, right: np.ndarray, terminals: int) -> np.ndarray:

@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gridloom.llm.transducer import SPACE, WHITE, Cutter, byte_alphabet, byte_bpe, char_classes, cut
+from gridloom.llm.transducer import Cutter, byte_alphabet, byte_bpe, char_classes, cut
 
 #: Pieces remembered per worker; the memory is emptied when full, so it stays bounded on any corpus.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Characters cut at once; bounds a worker's memory however many rows a batch has.
 CHARS_AT_ONCE = 2_000_000
 
@@ -101,12 +101,10 @@ class Encoder:
         out: list[bytes] = []
         for run in slices(texts):
             plain, layout = self.parts(run)
-            pieces, kinds, first = cut(self.cutter, self.classes, plain) if plain else ([], np.zeros(0, np.uint8), np.zeros(1, np.int64))
+            pieces, first = cut(self.cutter, self.classes, plain, blanks=not self.normal) if plain else ([], np.zeros(1, np.int64))
             known = self.known
             if len(known) > REMEMBERED:
                 known.clear()
-            if self.normal:
-                known |= dict.fromkeys({p for p, k in zip(pieces, kinds.tolist()) if k in (SPACE, WHITE)}, b"")
             got = list(map(known.get, pieces))
             for i, x in enumerate(got):
                 if x is None:
@@ -146,7 +144,7 @@ class Counter:
                         found = [y for x in split for y in x]
                 plain += found
                 owner += [i] * len(found)
-            pieces, _, first = cut(self.cutter, self.classes, plain)
+            pieces, first = cut(self.cutter, self.classes, plain)
             known, count = self.known, self.counter.count
             if len(known) > REMEMBERED:
                 known.clear()

@@ -153,21 +153,22 @@ class Cutter:
         return begins
 
 
-def cut(cutter: Cutter, classes: np.ndarray, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Pieces of all texts in order, the class of each piece's first character, and where each text's pieces begin (one more entry than texts)."""
+def cut(cutter: Cutter, classes: np.ndarray, texts: list[str], blanks: bool = True) -> tuple[list[str], np.ndarray]:
+    """Pieces of all texts in order, and where each text's pieces begin (one more entry than texts). blanks=False leaves pieces of white space out."""
     joined = "".join(texts)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(lengths)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
     of_char = classes[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
     is_end = np.zeros(len(of_char) + len(texts), bool)
     is_end[ends + np.arange(len(texts))] = True
     symbols = np.full(len(is_end), END, np.uint8)
     symbols[~is_end] = of_char
     begins = np.flatnonzero(cutter.marks(symbols)[~is_end])
+    stops = np.append(begins[1:], len(joined))
+    if not blanks:
+        filled = (of_char[begins] != SPACE) & (of_char[begins] != WHITE)
+        begins, stops = begins[filled], stops[filled]
     first = np.searchsorted(begins, np.concatenate([[0], ends]))
-    at = begins.tolist()
-    pieces = [joined[a:b] for a, b in zip(at, [*at[1:], len(joined)])]
-    return pieces, of_char[begins], first
+    return [joined[a:b] for a, b in zip(begins.tolist(), stops.tolist())], first
 
 
 class PieceCounter:
