@@ -116,7 +116,7 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, percent: int, counters: np.ndarray) -> DataFrame:
-    """row, doc_id, n, digest (of the set), group (digest of size and prefix), prefix (elements in order, 8 bytes each) and maps (512 parities) of every document."""
+    """row, doc_id, text_hash, n, digest (of the set), group (digest of size and prefix), prefix (elements in order, 8 bytes each) and maps (512 parities) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame, words: int, percent: int, counters: np.ndarray)
         for batch in batches:
             at = 0
             for some in slices(texts_of(batch.column("text"))):
-                ids = batch.column("doc_id").slice(at, len(some))
+                ids, marks = (batch.column(c).slice(at, len(some)) for c in ("doc_id", "text_hash"))
                 at += len(some)
                 hashes, owners = shingle_sets(some, words)
                 n = np.bincount(owners, minlength=len(some))
@@ -149,15 +149,15 @@ def signatures(docs: DataFrame, words: int, percent: int, counters: np.ndarray)
                 edges = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row + np.arange(len(some))), ids, pa.array(n), pa.array(sets, pa.binary()), pa.array(groups, pa.binary()),
+                        pa.array(row + np.arange(len(some))), ids, marks, pa.array(n), pa.array(sets, pa.binary()), pa.array(groups, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)), pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(some) + 1, 8, dtype=np.int32)), pa.array(maps.ravel())),
                     ],
-                    ["row", "doc_id", "n", "digest", "group", "prefix", "maps"],
+                    ["row", "doc_id", "text_hash", "n", "digest", "group", "prefix", "maps"],
                 )
                 row += len(some)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"row long, doc_id {kind}, n long, digest binary, group binary, prefix array<bigint>, maps array<bigint>")
+    made = docs.select("doc_id", "text_hash", text_or_empty().alias("text")).mapInArrow(run, f"row long, doc_id {kind}, text_hash long, n long, digest binary, group binary, prefix array<bigint>, maps array<bigint>")
     return materialize(made, "signatures")
 
 
@@ -201,7 +201,20 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 
 def near_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; documents link at a Jaccard similarity of percent/100 or more."""
-    base = docs.select("doc_id", "text")
+    return component_rows(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id; among several of that id, the text of the smallest hash."""
+    rows = component_rows(docs, words, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    keep = rows.groupBy("component_row").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_hash")), "left_semi")
+
+
+def component_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and component_row (distinct by component) of every document."""
+    base = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     signed = signatures(base, words, percent, counter_table(base, words))
     filled = signed.where("n > 0")
     entities = materialize(filled.groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("copies")), "entities")
@@ -244,10 +257,10 @@ def near_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     whole = entities.join(named, "row", "left").withColumn("root", F.coalesce("root", "row"))
     ids = whole.groupBy("root").agg(F.min("keep").alias("component_id"), F.count(F.lit(1)).alias("_n"))
     settled = lookup_join(whole.select("root", "digest", "copies"), materialize(ids, "ids"), "root", "_n", F.col("digest"))
-    settled = materialize(settled.select("digest", "copies", "component_id"), "settled")
-    out = lookup_join(filled.select("row", "doc_id", "n", "digest"), settled, "digest", "copies", F.col("row"))
-    lone = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(lone)
+    settled = materialize(settled.select("digest", "copies", "component_id", "root"), "settled")
+    out = lookup_join(filled.select("row", "doc_id", "text_hash", "n", "digest"), settled, "digest", "copies", F.col("row"))
+    lone = signed.where("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("row").alias("component_row"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.col("root").alias("component_row")).unionByName(lone)
 
 
 def screened(pairs: DataFrame, facts: DataFrame, percent: int, done: DataFrame | None = None) -> DataFrame:
@@ -263,17 +276,14 @@ def screened(pairs: DataFrame, facts: DataFrame, percent: int, done: DataFrame |
 
 
 def active_texts(base: DataFrame, signed: DataFrame, active: DataFrame) -> DataFrame:
-    """row and text of the active rows. Texts are matched by doc_id and set digest's row; a bit table keeps most others out of the join."""
-    wanted = signed.select("row", "doc_id").join(active.select("row"), "row")
-    h = F.xxhash64("doc_id")
-    size = 1 << 16
-    word = F.pmod(h, F.lit(size)).cast("int")
-    bit = F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int")
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    table = wanted.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    kept = base.where("doc_id IS NOT NULL").withColumn("_w", word).join(F.broadcast(table.withColumnRenamed("word", "_w")), "_w")
-    kept = kept.where(F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit)) != 0).select("doc_id", "text")
-    return materialize(kept.join(wanted, "doc_id").select("row", "text"), "texts")
+    """row and text of the active rows, matched by doc_id and text hash. A bit table of fixed size (2^22 bits) keeps most other texts out of the join."""
+    wanted = signed.select("row", F.col("doc_id").alias("_id"), "text_hash").join(active.select("row"), "row")
+    word = F.pmod("text_hash", F.lit(1 << 16)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("text_hash", 20), F.lit(64)).cast("int"))
+    table = wanted.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    likely = base.withColumn("_word", word).join(F.broadcast(table), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    found = likely.select("doc_id", "text_hash", "text").join(wanted, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("_id")))
+    return materialize(found.select("row", "text").dropDuplicates(["row"]), "texts")
 
 
 def open_pairs(wanted: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
