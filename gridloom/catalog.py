@@ -1,4 +1,6 @@
 """Registered queries of the raster engine and their SQL for DuckDB."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from gridloom import queries
+
+QUERIES = queries.QUERIES
+ORACLES = queries.ORACLES
