@@ -38,15 +38,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, spread: Column, how: str = "inner") -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, spread: Column, how: str = "inner", total: int | None = None) -> DataFrame:
     """Join rows to a lookup with one line per key, although one key may hold a third of the rows.
 
     A key is hot when it has more than 1/(4 P) of the rows, P being the shuffle width; so there are at
     most 4 P hot keys, and only that bounded list is broadcast. Hot keys are dealt to several salts
-    on the row side, and their lookup line is repeated once per salt.
+    on the row side, and their lookup line is repeated once per salt. total, the number of rows, is counted where it isn't given.
     """
     width = shuffle_width(rows.sparkSession)
-    total = lookup.agg(F.sum(count)).first()[0] or 0
+    if total is None:
+        total = lookup.agg(F.sum(count)).first()[0] or 0
     limit = max(1000, total // (4 * width))
     hot = lookup.where(F.col(count) > limit).select(
         F.col(key).alias("_hot"), F.ceil(F.col(count) / F.lit(limit)).cast("int").alias("_salts")

@@ -5,7 +5,7 @@ share one of their first n - ceil(t n) + 1 elements in any common order; the ord
 2^20 counters over all shingles (fixed size, whatever the corpus), then by hash.
 
 1. Documents with equal sets are one entity; entities with equal size and prefix are one group.
-2. Groups meet in the lists of their prefix elements. In each list a leader is compared with every other group, and in each group a leader with every
+2. Groups meet in the lists of their prefix elements, cut where sizes leave a gap. In each list a leader is compared with every other group, and in each group a leader with every
    other entity: as many pairs as list entries, however long a list is.
 3. Lists whose entries now lie in one component are done. In the others, every pair from different components is compared, in blocks of bounded size;
    pairs inside a component need no comparison, as they cannot change it.
@@ -222,16 +222,17 @@ def component_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     members = materialize(filled.select("row", "group", "n", "maps").join(leads, "row"), "members")
     groups = materialize(members.groupBy("group").agg(F.min("row").alias("lead"), F.count(F.lit(1)).alias("size")), "groups")
 
-    # Lists of groups by prefix element; an element of one group alone leads nowhere.
-    prefixes = signed.select("row", "prefix").join(groups.select(F.col("lead").alias("row")), "row")
-    entries = prefixes.select(F.col("row").alias("lead"), F.posexplode("prefix").alias("pos", "element"))
-    listed = entries.withColumn("entries", F.count(F.lit(1)).over(Window.partitionBy("element"))).where("entries > 1")
-    lists = materialize(listed, "lists")
+    # Lists of groups by prefix element. The smaller set of a pair shares an element of its short prefix (see below), and the sizes of a
+    # pair differ little; entries without a partner of such a kind and size, next to them in order of size, are left out.
+    prefixes = signed.select("row", "n", "prefix").join(groups.select(F.col("lead").alias("row")), "row")
+    entries = prefixes.select(F.col("row").alias("lead"), "n", F.posexplode("prefix").alias("pos", "element"))
+    entries = entries.withColumn("short", F.col("pos") < short_prefix(F.col("n"), percent))
+    lists = materialize(size_runs(entries, percent), "lists")
 
     facts = members.select("row", "n", "maps")
     in_group = lookup_join(members.select("row", "group"), groups, "group", "size", F.col("row")).where("row <> lead")
-    first = lists.groupBy("element").agg(F.min_by("lead", F.struct("pos", "lead")).alias("leader"), F.count(F.lit(1)).alias("_n"))
-    in_lists = lookup_join(lists.select("element", "lead"), first, "element", "_n", F.col("lead")).where("lead <> leader")
+    first = lists.groupBy("list").agg(F.min_by("lead", F.struct(~F.col("short"), F.col("pos"), F.col("lead"))).alias("leader"), F.count(F.lit(1)).alias("_n"))
+    in_lists = lookup_join(lists.select("list", "lead"), first, "list", "_n", F.col("lead")).where("lead <> leader")
     pairs = in_group.select(F.struct(F.col("lead").alias("a"), F.col("row").alias("b")).alias("p"))
     pairs = pairs.unionByName(in_lists.select(F.struct(F.least("lead", "leader").alias("a"), F.greatest("lead", "leader").alias("b")).alias("p")))
     star = screened(materialize(pairs.groupBy("p").count().select("p.*"), "pairs"), facts, percent)
@@ -245,11 +246,9 @@ def component_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # What is left: lists with entries of different components.
     placed = active.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     placed = materialize(placed.join(facts, "row"), "placed")
-    by_element = lists.where("entries > 2").select("lead", F.struct(F.lit(0).alias("kind"), F.col("element").alias("id")).alias("list"))
-    crowded = lists.where("entries = 2").join(groups.where("size > 1").select("lead"), "lead", "left_semi").select("element").distinct()
-    by_crowd = lists.where("entries = 2").join(crowded, "element", "left_semi").select("lead", F.struct(F.lit(0).alias("kind"), F.col("element").alias("id")).alias("list"))
-    by_group = groups.where("size > 2").select("lead", F.struct(F.lit(1).alias("kind"), F.col("lead").alias("id")).alias("list"))
-    wanted = materialize(by_element.unionByName(by_crowd).unionByName(by_group), "wanted")
+    of_lists = lists.select("lead", "short", F.struct(F.lit(0).alias("kind"), F.col("list.element"), F.col("list.run")).alias("list"))
+    of_groups = groups.where("size > 2").select("lead", F.lit(True).alias("short"), F.struct(F.lit(1).alias("kind"), F.col("lead").alias("element"), F.lit(0).cast("long").alias("run")).alias("list"))
+    wanted = materialize(of_lists.unionByName(of_groups), "wanted")
     more = screened(open_pairs(wanted, placed, percent), facts, percent, done=star)
     links = materialize(links.unionByName(verify(more, texts, words, percent)), "all_links")
 
@@ -263,6 +262,26 @@ def component_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.col("root").alias("component_row")).unionByName(lone)
 
 
+def short_prefix(n: Column, percent: int) -> Column:
+    """Elements to look at for partners at least as large: their overlap is 2p/(100+p) of n at least."""
+    return n - F.ceil(n * (2 * percent) / F.lit(100 + percent)) + 1
+
+
+def size_runs(entries: DataFrame, percent: int) -> DataFrame:
+    """list (element, run), lead, n, pos, short: entries of an element in runs of sizes that follow each other closely enough to link.
+
+    A run has two entries at least, and one with a short prefix that is no larger than some other.
+    """
+    order = Window.partitionBy("element").orderBy("n", "lead")
+    far = F.lag("n").over(order) * 100 < F.col("n") * percent
+    ran = entries.withColumn("far", F.coalesce(far.cast("long"), F.lit(0)))
+    ran = ran.withColumn("run", F.sum("far").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("element", "run")
+    counted = ran.withColumn("least", F.min(F.when(F.col("short"), F.col("n"))).over(whole)).where(F.col("short") | (F.col("n") >= F.col("least")))
+    counted = counted.withColumn("_c", F.count(F.lit(1)).over(whole)).where("_c > 1")
+    return counted.select(F.struct("element", "run").alias("list"), "lead", "n", "pos", "short")
+
+
 def screened(pairs: DataFrame, facts: DataFrame, percent: int, done: DataFrame | None = None) -> DataFrame:
     """Pairs that pass the filters; facts has n and maps of every row. Pairs in done are left out."""
     if done is not None:
@@ -287,22 +306,31 @@ def active_texts(base: DataFrame, signed: DataFrame, active: DataFrame) -> DataF
 
 
 def open_pairs(wanted: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of rows of different components that share a list, in blocks. wanted: (list, lead); placed: rows with lead, root, n and maps."""
-    rows = placed.select("row", "lead", "root")
-    sizes = rows.groupBy("lead").agg(F.count(F.lit(1)).alias("_n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    entries = wanted.join(sizes, "lead")
-    spans = entries.groupBy("list").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("_e"))
+    """Distinct pairs of rows of different components that share a list, in blocks. wanted: list, lead, short; placed: rows with lead, root, n and maps.
+
+    Only rows outside a list's largest component are met with its others.
+    """
+    leads = placed.groupBy("lead").agg(F.count(F.lit(1)).alias("_n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    spans = wanted.join(leads, "lead").groupBy("list").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("_e"))
     spans = materialize(spans.where("low <> high AND rows > 2"), "spans")
-    left_over = materialize(lookup_join(wanted, spans.select("list", "rows", "_e"), "list", "_e", F.col("lead")).drop("_e"), "left_over")
-    by_lead = left_over.groupBy("lead").agg(F.count(F.lit(1)).alias("_c"))
-    grown = lookup_join(left_over, materialize(rows.join(by_lead, "lead").groupBy("lead").agg(F.collect_list(F.struct("row", "root")).alias("all"), F.max("_c").alias("_c")), "packed"), "lead", "_c", F.col("list"))
-    full = materialize(grown.select("list", "rows", F.explode("all").alias("x")).select("list", "rows", "x.row", "x.root"), "full")
+    left_over = lookup_join(wanted, spans.select("list", "rows", "_e"), "list", "_e", F.col("lead")).drop("_e")
+    left_over = materialize(left_over, "left_over")
+    crowd = placed.select("row", "lead", "root", "n", "maps").join(left_over.groupBy("lead").agg(F.count(F.lit(1)).alias("_c")), "lead")
+    crowd = materialize(crowd.withColumn("part", F.pmod(F.xxhash64("row"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("lead")) / F.lit(BLOCK)).cast("int"))), "crowd")
+    packs = crowd.groupBy("lead", "part").agg(F.collect_list(F.struct("row", "root", "n", "maps")).alias("all"), F.max("_c").alias("_c"))
+    parts = crowd.groupBy("lead").agg(F.max("part").alias("last"), F.max("_c").alias("_c"))
+    spread = lookup_join(left_over, materialize(parts, "parts"), "lead", "_c", F.col("list")).drop("_c").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))))
+    packs = packs.select(F.struct("lead", F.col("part").cast("int").alias("part")).alias("pack"), "all", "_c")
+    full = lookup_join(spread.select(F.struct("lead", "part").alias("pack"), "list", "rows", "short"), materialize(packs, "packs"), "pack", "_c", F.col("list"))
+    full = materialize(full.select("list", "rows", "short", F.explode("all").alias("x")).select("list", "rows", "short", "x.*"), "full")
     main = full.groupBy("list", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("list").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("_c"))
-    full = materialize(lookup_join(full, materialize(main, "main"), "list", "_c", F.col("row")).join(placed.select("row", "n", "maps"), "row"), "told")
+    told = lookup_join(full, materialize(main, "main"), "list", "_c", F.col("row"))
     blocks = F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int")
-    right = full.select("list", F.pmod(F.xxhash64("row"), blocks).cast("int").alias("block"), F.col("row").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("maps").alias("maps_b"), (F.col("root") != F.col("main")).alias("rest_b"))
-    rest = full.where("root <> main").withColumn("part", F.pmod(F.xxhash64("row", F.lit(1)), blocks).cast("int"))
-    left = rest.select("list", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("row").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("maps").alias("maps_a"), "part")
-    met = left.join(right, (left["list"] == right["list"]) & (left["block"] == right["block"]) & (F.col("root_a") != F.col("root_b")) & (~F.col("rest_b") | (F.col("a") < F.col("b"))) & passes(percent))
+    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("root", "n", "maps", "short")]
+    right = told.select("list", F.pmod(F.xxhash64("row"), blocks).cast("int").alias("block"), F.col("row").alias("b"), (F.col("root") != F.col("main")).alias("rest_b"), *named("b"))
+    left = told.where("root <> main").select("list", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("row").alias("a"), *named("a"))
+    led = (F.col("short_a") & (F.col("n_a") <= F.col("n_b"))) | (F.col("short_b") & (F.col("n_b") <= F.col("n_a")))
+    once = ~F.col("rest_b") | (F.col("a") < F.col("b"))
+    met = left.join(right, (left["list"] == right["list"]) & (left["block"] == right["block"]) & (F.col("root_a") != F.col("root_b")) & once & led & passes(percent))
     pairs = met.select(F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).alias("p")).groupBy("p").count().select("p.*")
     return materialize(pairs, "open")
