@@ -60,23 +60,20 @@ BROADCAST_CELLS = 100_000
 def keep_covered(pixels: DataFrame, covering: DataFrame, resolution: int) -> DataFrame:
     """Rows whose cell (of `resolution`), or an ancestor of it, is in the covering (res, cell).
 
-    One key is made per row and covering level and joined in one semi-join. A covering is broadcast only when its counted size allows;
-    a larger one is joined by shuffle.
+    Rows are read once and joined to the distinct cells of each covering level by their ancestor at that level. A covering is broadcast only when its
+    counted size allows; a larger one is joined by shuffle.
     """
     levels = [r["res"] for r in covering.select("res").distinct().collect()]
     levels = sorted(r for r in levels if r <= resolution)
     if not levels:
         return pixels.limit(0)
     small = covering.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
-    cells = covering.select(F.col("cell").alias("_c")).distinct()
-    cells = F.broadcast(cells) if small else cells
-    kept = None
+    marked, marks = pixels, []
     for r in levels:
-        rest = pixels if kept is None else rest.join(cells, cell_parent(F.col("cell"), previous) == F.col("_c"), "left_anti")  # noqa: F821
-        hit = rest.join(cells, cell_parent(F.col("cell"), r) == F.col("_c"), "left_semi")
-        kept = hit if kept is None else kept.unionByName(hit)
-        previous = r
-    return kept
+        cells = covering.where(F.col("res") == r).select(F.col("cell").alias(f"_cover_{r}")).distinct()
+        marked = marked.join(F.broadcast(cells) if small else cells, cell_parent(F.col("cell"), r) == F.col(f"_cover_{r}"), "left")
+        marks.append(f"_cover_{r}")
+    return marked.where(F.coalesce(*marks).isNotNull()).drop(*marks)
 
 
 def in_polygon(lon: Column, lat: Column, rings: Sequence[Sequence[tuple[float, float]]]) -> Column:
