@@ -52,10 +52,9 @@ def groups(rows: DataFrame) -> DataFrame:
 
 def bodies(docs: DataFrame, keepers: DataFrame) -> DataFrame:
     """digest, keep_id, group_size and normalised text of the rows that stay; keepers has one row per digest, and doc_id reaches few rows."""
-    texts = docs.select(F.col("doc_id").alias("keep_id"), normalized(text_or_empty()).alias("body"))
-    ids = keepers.withColumnRenamed("keep_id", "_keep")
-    found = texts.join(ids, F.col("keep_id").eqNullSafe(F.col("_keep"))).drop("_keep").where(F.unhex(F.sha2("body", 256)) == F.col("digest"))
-    return found.dropDuplicates(["digest"])
+    texts = docs.select("doc_id", normalized(text_or_empty()).alias("body")).withColumn("_digest", F.unhex(F.sha2("body", 256)))
+    found = texts.join(keepers, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_digest") == F.col("digest")))
+    return found.drop("doc_id", "_digest").dropDuplicates(["digest"])
 
 
 def bucket_of(digest: Column, buckets: int) -> Column:

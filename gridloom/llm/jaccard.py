@@ -296,12 +296,12 @@ def screened(pairs: DataFrame, facts: DataFrame, percent: int, done: DataFrame |
 
 def active_texts(base: DataFrame, signed: DataFrame, active: DataFrame) -> DataFrame:
     """row and text of the active rows, matched by doc_id and text hash. A bit table of fixed size (2^22 bits) keeps most other texts out of the join."""
-    wanted = signed.select("row", F.col("doc_id").alias("_id"), "text_hash").join(active.select("row"), "row")
+    wanted = signed.select("row", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).join(active.select("row"), "row")
     word = F.pmod("text_hash", F.lit(1 << 16)).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("text_hash", 20), F.lit(64)).cast("int"))
-    table = wanted.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    table = wanted.withColumnRenamed("_hash", "text_hash").groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     likely = base.withColumn("_word", word).join(F.broadcast(table), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
-    found = likely.select("doc_id", "text_hash", "text").join(wanted, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("_id")))
+    found = likely.select("doc_id", "text_hash", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     return materialize(found.select("row", "text").dropDuplicates(["row"]), "texts")
 
 
