@@ -37,6 +37,8 @@ BOILER_NAMES = set(
     commentlist respond reply replies disqus discussion reactions social share sharing pagination pager tags tagcloud skip hidden""".split()
 )
 CONTENT_NAMES = set("article content main post entry story body text prose".split())
+# A class such as has-sidebar or comments-open tells about the page, not about the element.
+ABOUT_PAGE = set("has no not with without open closed enabled disabled".split())
 
 #: Logistic weights over block features.
 WEIGHTS = {"bias": -0.5, "boiler": -9.0, "content_tag": 5.0, "content_name": 1.5, "links": -3.5, "words": 0.55, "sentence": 0.8, "heading": 0.6, "item": -0.8}
@@ -80,9 +82,11 @@ def open_node(tag: str, attributes: str, parent: Node, number: int) -> Node:
             elif name == "style":
                 boiler |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
             else:
-                parts = {p.lower() for p in PART.findall(value)}
-                boiler |= bool(parts & BOILER_NAMES) or (name == "role" and value.lower() in ("banner", "contentinfo", "complementary", "dialog", "menubar"))
-                content_name |= bool(parts & CONTENT_NAMES)
+                for one in value.split():
+                    parts = {p.lower() for p in PART.findall(one)}
+                    boiler |= bool(parts & BOILER_NAMES) and not parts & ABOUT_PAGE
+                    content_name |= bool(parts & CONTENT_NAMES)
+                boiler |= name == "role" and value.lower() in ("banner", "contentinfo", "complementary", "dialog", "menubar")
     if tag in ("body", "html"):
         boiler = False
     if tag == "header" and parent.content_tag:

@@ -366,7 +366,7 @@ def test_components_of_paths_and_stars(spark):
 # 8 pages
 
 PAGE = """<html><body><header class="site-header"><h1>Site name</h1></header><div id="cookie-notice"><p>We use cookies to make this site better.</p></div>
-<div class="wrap"><div class="post-content"><h2>Title here</h2><p>First paragraph of the story, with words enough.</p><p>Short.</p><ul><li>one item<li>two &eacute;</ul>
+<div class="wrap has-sidebar"><div class="post-content"><h2>Title here</h2><p>First paragraph of the story, with words enough.</p><p>Short.</p><ul><li>one item<li>two &eacute;</ul>
 <p>Last <a href=x>linked</a> paragraph&nbsp;a &lt; b.</div><div class="sidebar"><p>Popular posts this week are here.</p></div><div class="comments"><p>Great article, I loved it so much. Thanks!</p></div></div>
 <form><label>Name</label><input></form><footer><p>Copyright</p></footer><script>var a="<p>no</p>"</script></body>"""
 
