@@ -210,7 +210,8 @@ def test_store():
 
 def test_plan_has_no_python_after_the_scan(spark, codes):
     plan = raster.read_raster(spark, codes[0], R)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan.replace("PythonDataSource", "").replace("gridloom_pixels", "").replace("MapInArrow", "") or "BatchScan" in plan
+    assert "EvalPython" not in plan and "InPandas" not in plan and "InArrow" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_avg" in plan
 
 
 def test_streaming_sums(spark, tmp_path):
