@@ -239,8 +239,7 @@ def component_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     active = lists.select(F.col("lead").alias("row")).unionByName(groups.where("size > 1").select(F.col("lead").alias("row")))
     active = materialize(lookup_join(members.select("row", "group"), groups, "group", "size", F.col("row")).join(active.distinct().withColumnRenamed("row", "lead"), "lead", "left_semi").select("row", "group", "lead", "size"), "active")
-    texts = active_texts(base, signed, active)
-    links = verify(star, texts, words, percent)
+    links = verify(star, pair_texts(base, signed, star), words, percent)
     roots = components(links)
 
     # What is left: lists with entries of different components.
@@ -250,7 +249,7 @@ def component_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     of_groups = groups.where("size > 2").select("lead", F.lit(True).alias("short"), F.struct(F.lit(1).alias("kind"), F.col("lead").alias("element"), F.lit(0).cast("long").alias("run")).alias("list"))
     wanted = materialize(of_lists.unionByName(of_groups), "wanted")
     more = screened(open_pairs(wanted, placed, percent), facts, percent, done=star)
-    links = materialize(links.unionByName(verify(more, texts, words, percent)), "all_links")
+    links = materialize(links.unionByName(verify(more, pair_texts(base, signed, more), words, percent)), "all_links")
 
     named = components(links).withColumnRenamed("node", "row")
     whole = entities.join(named, "row", "left").withColumn("root", F.coalesce("root", "row"))
@@ -294,9 +293,11 @@ def screened(pairs: DataFrame, facts: DataFrame, percent: int, done: DataFrame |
     return materialize(pairs.where(passes(percent)).select("a", "b"), "screened")
 
 
-def active_texts(base: DataFrame, signed: DataFrame, active: DataFrame) -> DataFrame:
-    """row and text of the active rows, matched by doc_id and text hash. A bit table of fixed size (2^22 bits) keeps most other texts out of the join."""
-    wanted = signed.select("row", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).join(active.select("row"), "row")
+def pair_texts(base: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """row and text of the rows in pairs, matched by doc_id and text hash. A bit table of fixed size (2^22 bits) keeps most other texts out of the join."""
+    needed_rows = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    named = signed.select("row", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    wanted = materialize(named.join(needed_rows, "row"), "wanted_texts")
     word = F.pmod("text_hash", F.lit(1 << 16)).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("text_hash", 20), F.lit(64)).cast("int"))
     table = wanted.withColumnRenamed("_hash", "text_hash").groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
