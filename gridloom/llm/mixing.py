@@ -8,7 +8,8 @@ distribution of that mean by inverting the distribution function at a uniform va
 Defined cases: a null source is a source of its own; a null doc_id hashes as the empty string; rows
 that share a doc_id and a source get the same count; an empty table gives an empty result; columns
 of the caller whose names clash with added ones are refused with an error; empty and long texts
-are carried whole. Sources without a given weight get weight 0, and so no copies.
+are carried whole. Sources without a given weight get weight 0, and so no copies;
+if no source has weight the result is empty.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def source_rates(docs: DataFrame, weights: dict | None = None, size: float = 1.0
             weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(value))).otherwise(weight)
     weighted = counts.withColumn("_w", weight)
     totals = weighted.agg(F.sum("_w").alias("_tw"), F.sum("_n").alias("_tn"))
-    rate = F.col("_w") / F.col("_tw") * F.col("_tn") * F.lit(float(size)) / F.col("_n")
+    rate = F.try_divide("_w", "_tw") * F.col("_tn") * F.lit(float(size)) / F.col("_n")
     rated = weighted.join(F.broadcast(totals)).select(F.col("source").alias("_source"), F.coalesce(rate, F.lit(0.0)).alias("mix_rate"))
     return rated.withColumn("_cdf", poisson_cdf(F.col("mix_rate")))
 
