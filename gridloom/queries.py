@@ -6,6 +6,8 @@ embeddings stands in for cells with 64-band vectors, events for captures over ti
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,6 +240,21 @@ def separate(spark, d):
     return rounded(composite.separate(cells(spark, d), ["b2"], "mean", ["1", "2", "3"]), "1_b2", "2_b2", "3_b2")
 
 
+SOURCES = range(1, 8)
+
+
+@query("pooled_all", f"{WITH} SELECT cell, round(avg(b2), 4) AS b2 FROM c GROUP BY cell")
+def pooled_all(spark, d):
+    px = cells(spark, d)
+    whole = reduce(DataFrame.unionByName, [px.where(F.col("src") == i) for i in SOURCES])
+    return rounded(stats.summarise(whole, ["b2"], "mean"), "b2")
+
+
+@query("separate_all", f"{WITH} SELECT cell, " + ", ".join(f'round(avg(CASE WHEN src = {i} THEN b2 END), 4) AS "{i}_b2"' for i in SOURCES) + " FROM c GROUP BY cell")
+def separate_all(spark, d):
+    return rounded(composite.separate(cells(spark, d), ["b2"], "mean", [str(i) for i in SOURCES]), *[f"{i}_b2" for i in SOURCES])
+
+
 PER = "s AS (SELECT cell, src, avg(b2) AS v, CAST(count(b2) AS DOUBLE) AS w FROM c GROUP BY cell, src)"
 REDUCED = {
     "mean": "sum(w * v) / sum(w)", "min": "min(v)", "max": "max(v)", "sum": "sum(v)", "count": "CAST(count(v) AS DOUBLE)",

@@ -30,6 +30,11 @@ def test_equals_sql(spark, con, name):
             assert (a[c].astype(str) == b[c].astype(str)).all(), c
 
 
+def test_every_source_is_kept(spark, con):
+    labels = [str(x) for (x,) in con.execute("SELECT DISTINCT l_linenumber FROM lineitem ORDER BY 1").fetchall()]
+    assert catalog.QUERIES["separate_all"](spark, DATA).columns == ["cell", *[f"{x}_b2" for x in labels]]
+
+
 def test_reducer_vectors(spark):
     from gridloom.operators.composite import reduce_sources
 
