@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.errors import ArgumentError
-from gridloom.functions.grid import lonlat_to_cell
+from gridloom.functions.grid import lonlat_to_cell, wrap_lon
 from gridloom.functions.values import KERNELS
 
 MIN_WEIGHT = 1e-9
@@ -18,11 +18,17 @@ def forward(pixels: DataFrame, resolution: int, lon: str = "lon", lat: str = "la
 
 
 def sub_points(k: int, lon: Column, lat: Column, dlon: Column, dlat: Column) -> Column:
-    """Array of the k x k points that cut a pixel of size dlon x dlat into equal parts, each at its part's centre."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(k * k - 1)),
-        lambda i: F.struct((lon + dlon * ((i % k + 0.5) / k - 0.5)).alias("lon"), (lat + dlat * ((F.floor(i / k) + 0.5) / k - 0.5)).alias("lat")),
-    )
+    """Array of the k x k points that cut a pixel of size dlon x dlat into equal parts, each at its part's centre.
+
+    Longitudes wrap to [-180, 180). A point past a pole lies as far behind it, on the opposite meridian.
+    """
+
+    def point(i: Column) -> Column:
+        x, y = lon + dlon * ((i % k + 0.5) / k - 0.5), lat + dlat * ((F.floor(i / k) + 0.5) / k - 0.5)
+        past = F.abs(y) > 90
+        return F.struct(wrap_lon(F.when(past, x + 180.0).otherwise(x)).alias("lon"), F.when(past, F.signum(y) * 180.0 - y).otherwise(y).alias("lat"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(k * k - 1)), point)
 
 
 def overlay(pixels: DataFrame, resolution: int, subsamples: int, points: Column, keep: Column | None = None) -> DataFrame:

@@ -228,6 +228,20 @@ def overlay_weighted(spark, d):
     return rounded(out, "b2_mean", "b2_count")
 
 
+@query(
+    "overlay_all",
+    f"""WITH p AS ({PIXELS}), a AS (SELECT b2, lon + {SIZE} * ((i % {K} + 0.5) / {K} - 0.5) AS x, lat + {SIZE} * (((i // {K}) + 0.5) / {K} - 0.5) AS y FROM p, range({K * K}) t(i)),
+    t AS (SELECT b2, CASE WHEN abs(y) > 90 THEN x + 180 ELSE x END AS x, CASE WHEN y > 90 THEN 180 - y WHEN y < -90 THEN -180 - y ELSE y END AS lat FROM a),
+    u AS (SELECT b2, lat, CASE WHEN x >= 180 THEN x - 360 WHEN x < -180 THEN x + 360 ELSE x END AS lon FROM t),
+    s AS (SELECT b2, {cell_sql("lon", "lat", RES)} AS cell FROM u)
+    SELECT cell, round(sum(b2 / {K * K}) / sum(1.0 / {K * K}), 4) AS b2_mean, round(sum(1.0 / {K * K}), 4) AS b2_count FROM s GROUP BY cell""",
+)
+def overlay_all(spark, d):
+    points = assign.sub_points(K, F.col("lon"), F.col("lat"), F.lit(SIZE), F.lit(SIZE))
+    out = stats.summarise(assign.overlay(pixels(spark, d), RES, K, points), ["b2"], ["mean", "count"], weight="w")
+    return rounded(out, "b2_mean", "b2_count")
+
+
 @query("pooled", f"{WITH} SELECT cell, round(avg(b2), 4) AS b2 FROM c WHERE src IN (1, 2, 3) GROUP BY cell")
 def pooled(spark, d):
     px = cells(spark, d)

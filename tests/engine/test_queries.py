@@ -35,6 +35,21 @@ def test_every_source_is_kept(spark, con):
     assert catalog.QUERIES["separate_all"](spark, DATA).columns == ["cell", *[f"{x}_b2" for x in labels]]
 
 
+def test_sub_points_wrap(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.operators.assign import sub_points
+
+    def at(lon, lat):
+        points = sub_points(2, F.lit(lon), F.lit(lat), F.lit(10.0), F.lit(10.0))
+        return [tuple(p) for p in spark.range(1).select(points.alias("p")).first()["p"]]
+
+    assert at(179.0, 0.0) == [(176.5, -2.5), (-178.5, -2.5), (176.5, 2.5), (-178.5, 2.5)]
+    assert at(-180.0, 0.0)[0] == (177.5, -2.5)
+    assert at(10.0, 89.0) == [(7.5, 86.5), (12.5, 86.5), (-172.5, 88.5), (-167.5, 88.5)]
+    assert at(10.0, -89.0)[:2] == [(-172.5, -88.5), (-167.5, -88.5)]
+
+
 def test_reducer_vectors(spark):
     from gridloom.operators.composite import reduce_sources
 
