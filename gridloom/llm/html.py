@@ -24,10 +24,15 @@ from pyspark.sql import types as T
 
 # Element kinds of HTML, and name parts by which sites mark boilerplate and content.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math object canvas select option audio video xmp noframes".split())
+RAW = set("script style textarea title noscript iframe xmp noframes".split())
+# Elements inside a line whose content is not text of the page.
+HIDDEN = set("svg object canvas select audio video template".split())
+# The text of a formula's leaves is kept, with blanks between them.
+LEAVES = set("mi mn mo ms mtext annotation".split())
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br img".split()
-)
+    """a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br img math mrow mfrac msqrt mroot
+    mstyle merror mpadded mphantom menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mlabeledtr mtd maction semantics annotation-xml""".split()
+) | LEAVES
 BOILER_TAGS = set("nav header footer aside form menu button dialog fieldset address".split())
 CONTENT_TAGS = set("article main".split())
 BOILER_NAMES = set(
@@ -73,6 +78,8 @@ class Block:
 
 
 def open_node(tag: str, attributes: str, parent: Node, number: int) -> Node:
+    if tag in HIDDEN or tag == "option":
+        return Node(tag, number, parent.depth + 1, True, False, False)
     boiler, content_name = tag in BOILER_TAGS, False
     if attributes and not attributes.isspace():
         for m in ATTRIBUTE.finditer(attributes):
@@ -98,6 +105,41 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES_P = HEADINGS | set("p div ul ol dl table article section main nav header footer aside form pre blockquote hr figure address fieldset".split())
 
 
+def tokens(page: str) -> list[tuple[str, str, bool, str]]:
+    """(text ahead, tag, whether it ends, attributes) of each tag, without raw text; the text after the last one has an empty tag."""
+    out, at, size = [], 0, len(page)
+    while at < size:
+        m = TOKEN.search(page, at)
+        if not m:
+            out.append((page[at:], "", False, ""))
+            break
+        text, at = page[at : m.start()], m.end()
+        tag, ending, attributes = (m[2] or m[5] or "").lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
+        if tag in RAW and not ending:
+            if not attributes.endswith("/"):
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                at = end.end() if end else size
+            tag = ""
+        if text or tag:
+            out.append((text, tag, ending, attributes))
+    return out
+
+
+def hidden_pairs(found: list[tuple[str, str, bool, str]]) -> dict[int, int]:
+    """Both ways between the places of a hidden element's tags. One without an end tag is not there: its text is read."""
+    pairs: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for i, (_, tag, ending, attributes) in enumerate(found):
+        if tag in HIDDEN:
+            if not ending:
+                if not attributes.endswith("/"):
+                    opened.setdefault(tag, []).append(i)
+            elif opened.get(tag):
+                start = opened[tag].pop()
+                pairs[start], pairs[i] = i, start
+    return pairs
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of text of a page, with white space single and character references decoded."""
     root = Node("", 0, 0, False, False, False)
@@ -123,54 +165,75 @@ def blocks(page: str) -> list[Block]:
             linked += len(text.strip())
         buffer.append(text)
 
+    # Of each open hidden element: its place on the stack, its start tag, and the line that goes on after it.
+    held: list[tuple[int, int, list[str], int, int]] = []
+
+    def drop(i: int) -> None:
+        """End the elements of the stack from place i on; the line around a hidden one goes on where its own element stays open."""
+        nonlocal linked, in_link
+        while held and held[-1][0] >= i:
+            at, _, line, linked, in_link = held.pop()
+            del stack[at:]
+            buffer[:] = line
+            if i < at:
+                flush()
+        del stack[i:]
+
     def close(tags: set[str] | frozenset[str], stop: set[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
-                del stack[i:]
+                drop(i)
                 return
             if stack[i].tag in stop:
                 return
 
-    at, size = 0, len(page)
-    while at < size:
-        m = TOKEN.search(page, at)
-        if not m:
-            data(page[at:])
-            break
-        if m.start() > at:
-            data(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    found_tags = tokens(page)
+    pairs = hidden_pairs(found_tags)
+    for k, (text, tag, ending, attributes) in enumerate(found_tags):
+        if text:
+            data(text)
         if not tag:
             continue
-        ending, attributes = (m[1] or m[4]) == "/", m[3] or m[6] or ""
-        if tag in RAW and not ending:
-            if not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
-            continue
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if ending else 1
             elif tag in ("br", "img", "wbr"):
                 buffer.append(" " if tag == "br" else "")
+            elif tag in LEAVES and not ending:
+                buffer.append(" ")
             elif not ending and attributes and any(x in attributes for x in ("hidden", "none")):
                 pass
             continue
+        if tag in HIDDEN:
+            if ending:
+                at = next((h[0] for h in held if h[1] == pairs.get(k)), 0)
+                if at:
+                    flush()
+                    drop(at)
+            elif k in pairs:
+                held.append((len(stack), k, buffer.copy(), linked, in_link))
+                buffer.clear()
+                linked, in_link, number = 0, 0, number + 1
+                stack.append(open_node(tag, attributes, stack[-1], number))
+            continue
         flush()
         in_link = in_link if tag in ("div", "p") or tag in HEADINGS else 0
+        if stack[-1].tag == "option":
+            drop(len(stack) - 1)
         if tag in VOID:
             continue
         if ending:
             close({tag}, {"body"} if tag not in ("body", "html") else set())
             continue
         if tag in CLOSES_P:
-            close({"p"}, {"div", "td", "th", "li", "article", "section", "main", "body", "blockquote", "form", "aside", "nav", "header", "footer"})
+            close({"p"}, {"div", "td", "th", "li", "article", "section", "main", "body", "blockquote", "form", "aside", "nav", "header", "footer"} | HIDDEN)
         if tag in ("li", "dt", "dd", "tr", "td", "th"):
-            close({"li"} if tag == "li" else {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag != "tr" else {"tr"}, {"ul", "ol", "dl", "table", "tr"} - {tag})
+            close({"li"} if tag == "li" else {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag != "tr" else {"tr"}, {"ul", "ol", "dl", "table", "tr"} - {tag} | HIDDEN)
         number += 1
         stack.append(open_node(tag, attributes, stack[-1], number))
     flush()
+    drop(1)
+    flush()
     return found
 
 

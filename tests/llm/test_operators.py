@@ -377,6 +377,22 @@ def test_main_text():
     assert html.main_text("<article><p>An unclosed paragraph of words. <b>Bold <p>Next &am") == "An unclosed paragraph of words. Bold\n\nNext &am"
 
 
+def test_elements_without_text_of_the_page():
+    words = "The story has a first paragraph with words enough to be read."
+    article = f"<article><p>{words}</p><p>And a second one.</p></article>"
+    whole = f"{words}\n\nAnd a second one."
+    assert html.main_text("<form><input list=x><datalist id=x><option value=a><option value=b></datalist></form>" + article) == whole
+    assert html.main_text("<div><select><option>Red<option>Blue</select></div>" + article) == whole
+    for tag in ("canvas", "video", "object", "audio", "svg", "template", "select", "option"):
+        assert html.main_text(f"<{tag} id=x>{article}") == whole, tag
+        assert html.main_text(f"<div><{tag}></div>{article}<div><{tag}>Not shown.</{tag}></div>") == whole, tag
+        if tag != "option":
+            assert html.main_text(f"<article><p>The story <{tag}><p>Not shown here.</p></{tag}>has words.</p></article>") == "The story has words.", tag
+    assert html.main_text("<article><p>A line with <a href=x><svg><text>icon</text></svg>a link</a> in it.</p></article>") == "A line with a link in it."
+    assert html.main_text("<article><p>Let <math><mfrac><mn>1</mn><mi>x</mi></mfrac></math> be small.</p></article>") == "Let 1 x be small."
+    assert html.main_text("<article><p>Words before <video>not shown</article><p>after</video>") == "Words before"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.floats(-5, 5), min_size=1, max_size=7), st.data())
 def test_minimum_cut(costs, data):
