@@ -14,6 +14,8 @@ if no source has weight the result is empty.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +34,30 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+#: Rate up to which a distribution function starts from 0; exp(-rate) is far from the least double there.
+FROM_ZERO = 400
+
+
+def poisson_first(rate: Column) -> Column:
+    """Count that poisson_cdf starts from; what lies below it is less than 2^-32."""
+    return F.when(rate > FROM_ZERO, F.floor(rate - 8 * F.sqrt(rate) - 16)).otherwise(0).cast("int")
+
+
 def poisson_cdf(rate: Column) -> Column:
-    """Array of P(X <= n) for n from 0 far enough that the rest is below 2^-32."""
-    last = F.ceil(rate + 8 * F.sqrt(rate) + 16).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.array(F.exp(-rate)).alias("all"))
+    """Array of P(X <= n) for n from poisson_first far enough that the rest is below 2^-32."""
+    first, last = poisson_first(rate), F.ceil(rate + 8 * F.sqrt(rate) + 16).cast("int")
+    # The first term of a large rate is by Stirling's series, without differences of large logarithms.
+    k = F.greatest(first, F.lit(1)).cast("double")
+    large = F.exp(k * F.log1p((rate - k) / k) - (rate - k) - F.log(2 * math.pi * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k))
+    p0 = F.when(rate > FROM_ZERO, large).otherwise(F.exp(-rate))
+    start = F.struct(p0.alias("p"), p0.alias("c"), F.array(p0).alias("all"))
 
     def step(acc, n):
         p = acc["p"] * rate / n
         c = acc["c"] + p
         return F.struct(p.alias("p"), c.alias("c"), F.concat(acc["all"], F.array(c)).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["all"])
+    return F.aggregate(F.sequence(first + 1, last), start, step, lambda acc: acc["all"])
 
 
 def source_rates(docs: DataFrame, weights: dict | None = None, size: float = 1.0) -> DataFrame:
@@ -62,7 +77,7 @@ def source_rates(docs: DataFrame, weights: dict | None = None, size: float = 1.0
     totals = weighted.agg(F.sum("_w").alias("_tw"), F.sum("_n").alias("_tn"))
     rate = F.try_divide("_w", "_tw") * F.col("_tn") * F.lit(float(size)) / F.col("_n")
     rated = weighted.join(F.broadcast(totals)).select(F.col("source").alias("_source"), F.coalesce(rate, F.lit(0.0)).alias("mix_rate"))
-    return rated.withColumn("_cdf", poisson_cdf(F.col("mix_rate")))
+    return rated.withColumn("_first", poisson_first(F.col("mix_rate"))).withColumn("_cdf", poisson_cdf(F.col("mix_rate")))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, size: float = 1.0, seed: str = SEED) -> DataFrame:
@@ -78,10 +93,10 @@ def mix(docs: DataFrame, weights: dict | None = None, size: float = 1.0, seed: s
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     joined = docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-    n = F.size(F.filter("_cdf", lambda c: c <= uniform(F.col("doc_id"), seed)))
+    n = F.col("_first") + F.size(F.filter("_cdf", lambda c: c <= uniform(F.col("doc_id"), seed)))
     copies = joined.withColumn("_n", n).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     key = F.md5(F.concat(F.lit(seed + ":order:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("copy").cast("string")))
-    keyed = copies.drop("_source", "_cdf", "_n").withColumn("mix_key", key)
+    keyed = copies.drop("_source", "_first", "_cdf", "_n").withColumn("mix_key", key)
     return shuffled(keyed).select(*docs.columns, *ADDED)
 
 

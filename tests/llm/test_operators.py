@@ -429,6 +429,18 @@ def test_poisson_counts(spark):
     assert got.select("doc_id", "source", "copy").exceptAll(again.select("doc_id", "source", "copy")).count() == 0
 
 
+def test_large_poisson_rates(spark):
+    from math import exp, lgamma, log
+
+    rates = [0.0, 0.5, 59.0, 400.0, 401.0, 744.0, 800.0, 20_000.0]
+    table = spark.createDataFrame([(x,) for x in rates], "r double")
+    for x, first, cdf in table.select("r", mixing.poisson_first(F.col("r")), mixing.poisson_cdf(F.col("r"))).collect():
+        terms = [exp(n * log(x) - x - lgamma(n + 1)) if x else float(n == 0) for n in range(first + len(cdf))]
+        assert sum(terms[:first]) < 2**-33 and np.allclose(cdf, np.cumsum(terms)[first:], rtol=0, atol=1e-9) and cdf[-1] > 1 - 2**-33
+    got = mixing.mix(make(spark, ["t"] * 200), size=800.0).groupBy("doc_id").count().toPandas()["count"]
+    assert got.mean() == pytest.approx(800, abs=8) and got.var() == pytest.approx(800, rel=0.4)
+
+
 def test_mixing_edge_cases(spark, odd, empty):
     out = mixing.mix(odd.withColumn("extra", F.lit(1)), size=3.0)
     assert out.columns == [*odd.columns, "extra", "copy", "mix_rate", "mix_key"] and out.count() > 0
