@@ -28,7 +28,9 @@ from gridloom.llm._common import shuffle_width, text_or_empty
 from gridloom.llm.tokens import encoder, texts_of
 
 MAGIC = b"GLRP0001"
-ROUNDS, RULES_A_ROUND, LEAST_COUNT, BINS = 6, 2500, 8, 1 << 18
+#: A pair that occurs less often is left: its rule would take more room than it saves.
+LEAST_COUNT = 8
+BINS = 1 << 18
 SHARD_IDS = 1_000_000
 
 
@@ -37,36 +39,38 @@ def bins_of(seq: np.ndarray) -> np.ndarray:
     return (seq[:-1] * 40503 + seq[1:]) & (BINS - 1)
 
 
-def frequent_pairs(seq: np.ndarray, bins: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Left and right symbols of up to `most` pairs that occur LEAST_COUNT times, most frequent first, smaller pairs first on ties, one pair a bin.
+def frequent_pairs(seq: np.ndarray, bins: np.ndarray, filled: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right symbols of the pairs that occur `floor` times, most frequent first, smaller pairs first on ties, one pair a bin.
 
-    Pairs are counted in their bins first. A pair's count is at most its bin's, so the `most` fullest bins hold candidates
-    enough, and only their pairs are sorted. A pair that shares a bin with a more frequent one waits for a later round.
+    filled counts the pairs in each bin. A pair's count is at most its bin's, so only pairs of bins that reach the floor
+    are sorted. A pair that shares a bin with a more frequent one waits for a later round.
     """
-    filled = np.bincount(bins, minlength=BINS)
-    floor = max(LEAST_COUNT, int(np.partition(filled, -most)[-most]))
     some = np.flatnonzero((filled >= floor)[bins])
     keys, counts = np.unique(seq[some].astype(np.int64) << 32 | seq[some + 1], return_counts=True)
-    keys, counts = keys[counts >= LEAST_COUNT], counts[counts >= LEAST_COUNT]
-    keys = keys[np.lexsort((keys, -counts))[:most]]
+    keys, counts = keys[counts >= floor], counts[counts >= floor]
+    keys = keys[np.lexsort((keys, -counts))]
     left, right = keys >> 32, keys & 0xFFFFFFFF
     _, lead = np.unique((left * 40503 + right) & (BINS - 1), return_index=True)
     lead.sort()
-    return left[lead], right[lead]
+    return left[lead].astype(np.int32), right[lead].astype(np.int32)
 
 
-def compress(ids: np.ndarray, terminals: int, room: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, left, right): each round gives the most frequent pairs a nonterminal and replaces them left to right."""
+def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, left, right): each round gives the most frequent pairs a nonterminal and replaces them left to right.
+
+    The count that a round asks for halves from one to the next down to LEAST_COUNT; rounds then go on until no pair reaches it.
+    """
     seq, lefts, rights = ids.astype(np.int32), [], []
-    first = terminals
-    for _ in range(ROUNDS):
-        most = min(RULES_A_ROUND, max(room, terminals + 1) - first)
-        if len(seq) < 2 or most <= 0:
-            break
+    first, floor = terminals, len(ids)
+    while len(seq) > 1:
         bins = bins_of(seq)
-        left, right = (x.astype(np.int32) for x in frequent_pairs(seq, bins, most))
+        filled = np.bincount(bins, minlength=BINS)
+        floor = max(LEAST_COUNT, min(floor, int(filled.max())) // 2)
+        left, right = frequent_pairs(seq, bins, filled, floor)
         if not len(left):
-            break
+            if floor == LEAST_COUNT:
+                break
+            continue
         rule_of = np.full(BINS, -1, np.int32)
         rule_of[(left * 40503 + right) & (BINS - 1)] = np.arange(len(left))
         where = np.flatnonzero(rule_of[bins] >= 0)
@@ -77,13 +81,18 @@ def compress(ids: np.ndarray, terminals: int, room: int = 1 << 16) -> tuple[np.n
         head = np.concatenate([[True], np.diff(where) > 1])
         place = np.arange(len(where))
         pick = (place - np.maximum.accumulate(np.where(head, place, 0))) % 2 == 0
-        seq[where[pick]] = first + rule[pick]
+        where, rule = where[pick], rule[pick]
+        # A pair that lost most of its places to others waits for a later round.
+        uses = np.bincount(rule, minlength=len(left))
+        good = uses >= min(LEAST_COUNT // 2, int(uses.max()))
+        where, rule = where[good[rule]], (np.cumsum(good) - 1)[rule[good[rule]]]
+        seq[where] = first + rule
         keep = np.ones(len(seq), bool)
-        keep[where[pick] + 1] = False
+        keep[where + 1] = False
         seq = seq[keep]
-        lefts.append(left)
-        rights.append(right)
-        first += len(left)
+        lefts.append(left[good])
+        rights.append(right[good])
+        first += int(good.sum())
     none = np.zeros(0, np.int32)
     return seq, np.concatenate(lefts or [none]), np.concatenate(rights or [none])
 

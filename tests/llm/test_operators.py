@@ -182,6 +182,15 @@ def test_grammar_compresses():
         repair.Shard(b"nothing of the kind")
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(1)
+    many = np.repeat(rng.permutation(60_000).reshape(-1, 2), 8, axis=0)
+    for ids in (np.tile(np.arange(50), 400), np.zeros(5000, int), many[rng.permutation(len(many))].ravel()):
+        seq = repair.compress(ids, 60_000)[0].astype(np.int64)
+        assert np.unique(seq[:-1] << 32 | seq[1:], return_counts=True)[1].max(initial=0) < repair.LEAST_COUNT
+        assert repair.Shard(repair.to_blob([ids], 60_000)).document(0).tolist() == ids.tolist()
+
+
 def test_files(spark, odd, empty, tmp_path):
     path = f"file://{tmp_path}/ids"
     repair.write_shards(odd, path, WORD)
