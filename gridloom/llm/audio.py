@@ -160,6 +160,41 @@ def payload_of(text: str) -> tuple[int, bytes]:
 ADDED = {"n_bytes": T.LongType(), "payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "feature": T.StringType(), "media": T.BinaryType(), "pcm": T.BinaryType()}
 
 
+def files_of(texts: list[str]) -> dict[str, list]:
+    """UTF-8 sizes of texts, their mu-law files, and the files' audio as 16-bit samples at OUT_RATE."""
+    out: dict[str, list] = {"n_bytes": [], "media": [], "pcm": []}
+    for t in texts:
+        n, data = payload_of(t)
+        file = to_wave(data, MULAW)
+        for c, v in zip(out, (n, file, resample(*decode(file)).astype("<i2").tobytes())):
+            out[c].append(v)
+    return out
+
+
+def figures_of(files: list[bytes], pcms: list[bytes]) -> dict[str, list]:
+    """Sizes, digests and features of files and of their samples."""
+    out: dict[str, list] = {c: [] for c in ADDED if c not in ("n_bytes", "media", "pcm")}
+    loads = [from_wave(f)[3] for f in files]
+    heard = decode_adpcm(np.frombuffer(b"".join(loads), np.uint8).reshape(-1, UNIT))
+    at = 0
+    for file, load, pcm in zip(files, loads, pcms):
+        k = len(load) // UNIT
+        heard_as = (decode(file)[0], ALAW_TABLE[np.frombuffer(load, np.uint8)], heard[at : at + k].ravel())
+        at += k
+        marks = "|".join(map(feature, heard_as)) + f"|{zlib.crc32(pcm)}"
+        for c, v in zip(out, (len(load), hashlib.sha256(load).hexdigest(), zlib.crc32(load[-16:]), len(file), hashlib.sha256(file).hexdigest(), marks)):
+            out[c].append(v)
+    return out
+
+
+def checked(docs: DataFrame, added: list[str], text: str) -> tuple[list[T.StructField], T.StructType]:
+    """The columns of docs that pass through, and the schema with the added ones."""
+    if clash := [c for c in added if c in docs.columns and c != text]:
+        raise ValueError(f"columns {clash} are already there")
+    kept = [f for f in docs.schema.fields if f.name != text]
+    return kept, T.StructType([*kept, *(T.StructField(c, ADDED[c]) for c in added)])
+
+
 def audio_columns(docs: DataFrame, text: str = "text", keep_media: bool = True) -> DataFrame:
     """docs without the text, with its mu-law file, what is read back from it, and features.
 
@@ -167,40 +202,14 @@ def audio_columns(docs: DataFrame, text: str = "text", keep_media: bool = True)
     mu-law, as A-law and as ADPCM blocks of UNIT bytes, and the CRC of pcm. keep_media=False leaves the two binary columns out.
     """
     added = [c for c in ADDED if keep_media or c not in ("media", "pcm")]
-    if clash := [c for c in added if c in docs.columns and c != text]:
-        raise ValueError(f"columns {clash} are already there")
-    kept = [f for f in docs.schema.fields if f.name != text]
-    schema = T.StructType([*kept, *(T.StructField(c, ADDED[c]) for c in added)])
-
-    def rows(texts: list[str]) -> dict[str, list]:
-        out: dict[str, list] = {c: [] for c in ADDED}
-        sizes, files = [], []
-        for t in texts:
-            n, data = payload_of(t)
-            sizes.append(n)
-            files.append(to_wave(data, MULAW))
-        loads = [from_wave(f)[3] for f in files]
-        blocks = np.frombuffer(b"".join(loads), np.uint8)
-        heard = decode_adpcm(blocks.reshape(-1, UNIT))
-        at = 0
-        for n, file, load in zip(sizes, files, loads):
-            codes = np.frombuffer(load, np.uint8)
-            linear, rate = decode(file)
-            pcm = resample(linear, rate).astype("<i2").tobytes()
-            k = len(load) // UNIT
-            heard_as = (linear, ALAW_TABLE[codes], heard[at : at + k].ravel())
-            at += k
-            marks = "|".join(map(feature, heard_as)) + f"|{zlib.crc32(pcm)}"
-            values = (n, len(load), hashlib.sha256(load).hexdigest(), zlib.crc32(load[-16:]), len(file), hashlib.sha256(file).hexdigest(), marks, file, pcm)
-            for c, v in zip(ADDED, values):
-                out[c].append(v)
-        return out
+    kept, schema = checked(docs, added, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for some in slices(texts_of(batch.column(text)), 1_000_000):
-                found = rows(some)
+                files = files_of(some)
+                found = files | figures_of(files["media"], files["pcm"])
                 part = batch.slice(at, len(some))
                 at += len(some)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *(pa.array(found[c], T_ARROW[c]) for c in added)], [*(f.name for f in kept), *added])
@@ -208,4 +217,40 @@ def audio_columns(docs: DataFrame, text: str = "text", keep_media: bool = True)
     return docs.mapInArrow(run, schema)
 
 
+def store_media(docs: DataFrame, path: str, text: str = "text") -> None:
+    """Write docs without the text, with n_bytes, media and pcm, at path."""
+    added = ["n_bytes", "media", "pcm"]
+    kept, schema = checked(docs, list(ADDED), text)
+    schema = T.StructType([f for f in schema.fields if f.name not in ADDED or f.name in added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for some in slices(texts_of(batch.column(text)), 1_000_000):
+                found = files_of(some)
+                part = batch.slice(at, len(some))
+                at += len(some)
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *(pa.array(found[c], T_ARROW[c]) for c in added)], [*(f.name for f in kept), *added])
+
+    docs.mapInArrow(run, schema).write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
+
+
+def read_media(stored: DataFrame) -> DataFrame:
+    """What audio_columns gives without the binary columns, from the files and samples of a table that store_media wrote."""
+    added = [c for c in ADDED if c not in ("media", "pcm")]
+    kept = [f for f in stored.schema.fields if f.name not in ADDED]
+    schema = T.StructType([*kept, *(T.StructField(c, ADDED[c]) for c in added)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # As many rows at a time as hold about a megabyte of payload; pcm is four times that.
+            rows = max(1, batch.num_rows * 5_000_000 // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                found = figures_of(part.column("media").to_pylist(), part.column("pcm").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *(part.column(c) if c == "n_bytes" else pa.array(found[c], T_ARROW[c]) for c in added)], [*(f.name for f in kept), *added])
+
+    return stored.mapInArrow(run, schema)
+
+
 T_ARROW = {c: {T.LongType: pa.int64(), T.StringType: pa.string(), T.BinaryType: pa.binary()}[type(t)] for c, t in ADDED.items()}

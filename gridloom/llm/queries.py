@@ -91,9 +91,14 @@ def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gridloom.llm.audio import audio_columns
+    import uuid
+
+    from gridloom.llm._common import shared_dir
+    from gridloom.llm.audio import read_media, store_media
 
-    return audio_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_media=False)
+    path = f"{shared_dir(spark)}/audio-{uuid.uuid4().hex}"
+    store_media(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return read_media(spark.read.parquet(path))
 
 
 def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,6 +314,31 @@ def test_audio_columns(spark, odd, empty):
     assert audio.resample(np.array([0, 10, 20], np.int16), 8000, 12000).tolist() == [0, 6, 13, 20]
 
 
+def test_media_are_stored(spark, odd, empty, tmp_path):
+    docs = odd.select("doc_id", "text")
+    audio.store_media(docs, f"file://{tmp_path}/media")
+    stored, whole = spark.read.parquet(f"file://{tmp_path}/media"), audio.audio_columns(docs)
+    key = lambda r: (r["media_sha256"], str(r["doc_id"]))
+    assert stored.columns == ["doc_id", "n_bytes", "media", "pcm"]
+    assert sorted(map(tuple, stored.collect()), key=str) == sorted(map(tuple, whole.select(stored.columns).collect()), key=str)
+    assert sorted(audio.read_media(stored).collect(), key=key) == sorted(whole.drop("media", "pcm").collect(), key=key)
+    audio.store_media(empty.select("doc_id", "text"), f"file://{tmp_path}/none")
+    assert audio.read_media(spark.read.parquet(f"file://{tmp_path}/none")).count() == 0
+
+
+def test_op6_reads_what_it_stored(spark):
+    from pathlib import Path
+
+    from gridloom.llm._common import shared_dir
+    from gridloom.llm.queries import op6_telephony_audio
+
+    shared = Path(shared_dir(spark).removeprefix("file://").removeprefix("file:"))
+    before = set(shared.rglob("*.parquet"))
+    got = op6_telephony_audio(spark, "/root/testdata/sf0.001").count()
+    new = [str(p) for p in set(shared.rglob("*.parquet")) - before if p.is_file()]
+    assert new and sum(spark.read.parquet(f"file://{p}").where("length(media) > 0 AND length(pcm) > 0").count() for p in new) == got
+
+
 # 7 near duplicates
 
 
