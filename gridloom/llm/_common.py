@@ -2,34 +2,71 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of the innermost open scratch() block.
+_WRITTEN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor sees, from spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """Folder every executor sees, from spark.checkpoint.dir; where that is unset, a local one for a local master, and an error for a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what materialize() writes within the block, other than tables it is told to keep, when the block ends."""
+    paths: list[str] = []
+    token = _WRITTEN.set(paths)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
+        for path in paths:
+            delete(spark, path)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation, and values that
-    depend on task order (range bounds, generated ids) are fixed from here on.
+    depend on task order (range bounds, generated ids) are fixed from here on. With keep, the table outlives a scratch() block.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    written = _WRITTEN.get()
+    if written is not None and not keep:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_name(taken: list[str], label: str) -> str:
+    """A column name made from label that none of taken has, whatever its case."""
+    have = {c.lower() for c in taken}
+    while label.lower() in have:
+        label += "_"
+    return label
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -10,7 +10,8 @@ share one of their first n - ceil(t n) + 1 elements in any common order; the ord
 3. Lists whose entries now lie in one component are done. In the others, every pair from different components is compared, in blocks of bounded size;
    pairs inside a component need no comparison, as they cannot change it.
 
-Pairs pass filters on size and on 512-bit parity maps (which bound the overlap from above) before texts are fetched and compared exactly.
+Pairs pass filters on size and on parity maps (which bound the overlap from above; 512 bits, and about a bit per element for larger sets) before
+texts are fetched and compared exactly.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing; fewer words than a shingle form one shingle together; rows
 that share a doc_id are separate documents; null doc_ids never name a component that has another id; other columns are ignored; empty tables give
@@ -24,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import lookup_join, materialize, text_or_empty
+from gridloom.llm._common import lookup_join, materialize, new_name, scratch, text_or_empty
 from gridloom.llm.components import components
 from gridloom.llm.fuse import mix
 from gridloom.llm.quality import WHITE
@@ -36,6 +38,10 @@ from gridloom.llm.tokens import slices, texts_of
 COUNTERS = 1 << 20
 CHUNKS = 64
 BLOCK = 500
+#: Largest set for which the 512-bit map alone is used.
+SMALL = 512
+#: Bytes of text that a comparison of pairs holds at once.
+PAIR_BYTES = 2_000_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -115,8 +121,17 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return (n * percent + 99) // 100
 
 
+def wide_map(hashes: np.ndarray) -> np.ndarray:
+    """Parities of a set on the next power of two of bits from its size up, as 64-bit numbers; empty for sets that 512 bits suit."""
+    if len(hashes) <= SMALL:
+        return np.zeros(0, np.int64)
+    bits = 1 << (len(hashes) - 1).bit_length()
+    odd = np.bincount((hashes >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def signatures(docs: DataFrame, words: int, percent: int, counters: np.ndarray) -> DataFrame:
-    """row, doc_id, text_hash, n, digest (of the set), group (digest of size and prefix), prefix (elements in order, 8 bytes each) and maps (512 parities) of every document."""
+    """row, doc_id, text_hash, n, digest (of the set), group (digest of size and prefix), prefix (elements in order, 8 bytes each), maps (512 parities) and wide (see wide_map) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,27 +153,34 @@ def signatures(docs: DataFrame, words: int, percent: int, counters: np.ndarray)
                 parity = (np.bincount(owners * 512 + bit, minlength=512 * len(some)).reshape(-1, 512) & 1).astype(np.uint8)
                 maps = np.packbits(parity, axis=1, bitorder="little").view("<i8").reshape(len(some), 8)
                 length = n - needed(n, percent) + 1
-                sets, groups, prefixes = [], [], []
+                sets, groups, prefixes, wides = [], [], [], []
                 raw = hashes.astype("<u8")
                 for a, z, k in zip(start.tolist(), stop.tolist(), length.tolist()):
                     prefix = ordered[a : min(z, a + k)].tobytes()
                     sets.append(hashlib.md5(raw[a:z].tobytes()).digest())
                     groups.append(hashlib.md5((z - a).to_bytes(8, "little") + prefix).digest())
                     prefixes.append(np.frombuffer(prefix, "<i8"))
-                flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-                edges = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
+                    wides.append(wide_map(hashes[a:z]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row + np.arange(len(some))), ids, marks, pa.array(n), pa.array(sets, pa.binary()), pa.array(groups, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)), pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(some) + 1, 8, dtype=np.int32)), pa.array(maps.ravel())),
+                        lists_of(prefixes), lists_of(list(maps)), lists_of(wides),
                     ],
-                    ["row", "doc_id", "text_hash", "n", "digest", "group", "prefix", "maps"],
+                    ["row", "doc_id", "text_hash", "n", "digest", "group", "prefix", "maps", "wide"],
                 )
                 row += len(some)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", "text_hash", text_or_empty().alias("text")).mapInArrow(run, f"row long, doc_id {kind}, text_hash long, n long, digest binary, group binary, prefix array<bigint>, maps array<bigint>")
-    return materialize(made, "signatures")
+    made = docs.select("doc_id", "text_hash", text_or_empty().alias("text")).mapInArrow(run, f"row long, doc_id {kind}, text_hash long, n long, digest binary, group binary, prefix array<bigint>, maps array<bigint>, wide array<bigint>")
+    try:
+        return materialize(made, "signatures")
+    finally:
+        shared.destroy()
+
+
+def lists_of(rows: list[np.ndarray]) -> pa.ListArray:
+    edges = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)])))
 
 
 def passes(percent: int) -> Column:
@@ -169,6 +191,21 @@ def passes(percent: int) -> Column:
     return size & (differ * (100 + percent) <= total * (100 - percent))
 
 
+def passes_wide(percent: int) -> Column:
+    """passes() on the maps wide_a and wide_b, where both rows have one; the larger is folded to the size of the smaller, which keeps parities right."""
+    size = F.least(F.size("wide_a"), F.size("wide_b"))
+
+    def folded(side: str) -> Column:
+        wide = F.col(f"wide_{side}")
+        half = F.zip_with(F.slice(wide, F.lit(1), size), F.slice(wide, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(wide) == size, wide).otherwise(half)
+
+    each = F.zip_with(folded("a"), folded("b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(each, F.lit(0), lambda total, x: total + x)
+    known = (size > 0) & (F.greatest(F.size("wide_a"), F.size("wide_b")) <= 2 * size)
+    return F.when(known, differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).otherwise(True)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those at the threshold, by comparing their whole sets."""
 
@@ -179,22 +216,28 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            texts = dict(zip(a, batch.column("text_a").to_pylist())) | dict(zip(b, batch.column("text_b").to_pylist()))
-            keys = list(texts)
-            sets: dict[int, np.ndarray] = {}
-            at = 0
-            for some in slices(list(texts.values())):
-                hashes, owners = shingle_sets(some, words)
-                cuts = np.searchsorted(owners, np.arange(len(some) + 1))
-                sets |= {keys[at + i]: hashes[cuts[i] : cuts[i + 1]] for i in range(len(some))}
-                at += len(some)
-            hits = []
-            for x, y in zip(a, b):
-                p, q = sets[x], sets[y]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                hits.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(hits)), batch.column("b").filter(pa.array(hits))], ["a", "b"])
+            sizes = pc.add(pc.binary_length(batch.column("text_a")), pc.binary_length(batch.column("text_b"))).to_numpy(zero_copy_only=False)
+            # As many pairs at a time as hold about PAIR_BYTES of text; one pair at least.
+            slot = np.cumsum(sizes) // PAIR_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), batch.num_rows]
+            for at, end in zip(cuts, cuts[1:]):
+                part = batch.slice(at, end - at)
+                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+                texts = dict(zip(a, part.column("text_a").to_pylist())) | dict(zip(b, part.column("text_b").to_pylist()))
+                keys, sets = list(texts), {}
+                done = 0
+                for some in slices(list(texts.values())):
+                    hashes, owners = shingle_sets(some, words)
+                    edges = np.searchsorted(owners, np.arange(len(some) + 1))
+                    sets |= {keys[done + i]: hashes[edges[i] : edges[i + 1]] for i in range(len(some))}
+                    done += len(some)
+                hits = []
+                for x, y in zip(a, b):
+                    p, q = sets[x], sets[y]
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    hits.append(100 * both >= percent * (len(p) + len(q) - both))
+                keep = pa.array(hits, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
 
     return materialize(with_text(with_text(pairs, "a"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "found")
 
@@ -205,33 +248,43 @@ def near_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; among several of that id, the text of the smallest hash."""
+    """docs with one document of each component, that of the smallest doc_id; among several of that id, the text of the smallest hash.
+
+    Rows equal in doc_id and text stay or go together. Columns of docs may have any names.
+    """
     rows = component_rows(docs, words, percent)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    keep = rows.groupBy("component_row").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_hash")), "left_semi")
+    kept = rows.groupBy("component_row").agg(F.min(order).alias("k"))
+    id_, hash_ = new_name(docs.columns, "kept_id"), new_name(docs.columns, "kept_hash")
+    kept = materialize(kept.select(F.col("k.doc_id").alias(id_), F.col("k.text_hash").alias(hash_)).distinct(), "kept", keep=True)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(text_or_empty()) == F.col(hash_)), "left_semi")
 
 
 def component_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and component_row (distinct by component) of every document."""
+    with scratch(docs.sparkSession):
+        return materialize(found_components(docs, words, percent), "components", keep=True)
+
+
+def found_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     base = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     signed = signatures(base, words, percent, counter_table(base, words))
     filled = signed.where("n > 0")
     entities = materialize(filled.groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("copies")), "entities")
     leads = entities.select("row")
-    members = materialize(filled.select("row", "group", "n", "maps").join(leads, "row"), "members")
+    members = materialize(filled.select("row", "group", "n", "maps", "wide").join(leads, "row"), "members")
     groups = materialize(members.groupBy("group").agg(F.min("row").alias("lead"), F.count(F.lit(1)).alias("size")), "groups")
 
     # Lists of groups by prefix element. The smaller set of a pair shares an element of its short prefix (see below), and the sizes of a
     # pair differ little; entries without a partner of such a kind and size, next to them in order of size, are left out.
-    prefixes = signed.select("row", "n", "prefix").join(groups.select(F.col("lead").alias("row")), "row")
+    prefixes = signed.select("row", "n", "prefix").join(groups.select(F.col("lead").alias("row")).hint("merge"), "row")
     entries = prefixes.select(F.col("row").alias("lead"), "n", F.posexplode("prefix").alias("pos", "element"))
-    entries = entries.withColumn("short", F.col("pos") < short_prefix(F.col("n"), percent))
-    lists = materialize(size_runs(entries, percent), "lists")
+    short = F.col("pos") < short_prefix(F.col("n"), percent)
+    lists = materialize(size_runs(entries.select("element", "lead", (2 * F.col("n") + short.cast("long")).alias("size_short")), percent), "lists")
 
-    facts = members.select("row", "n", "maps")
+    facts = members.select("row", "n", "maps", "wide")
     in_group = lookup_join(members.select("row", "group"), groups, "group", "size", F.col("row")).where("row <> lead")
-    first = lists.groupBy("list").agg(F.min_by("lead", F.struct(~F.col("short"), F.col("pos"), F.col("lead"))).alias("leader"), F.count(F.lit(1)).alias("_n"))
+    first = lists.groupBy("list").agg(F.min_by("lead", F.struct(~F.col("short"), F.col("lead"))).alias("leader"), F.count(F.lit(1)).alias("_n"))
     in_lists = lookup_join(lists.select("list", "lead"), first, "list", "_n", F.col("lead")).where("lead <> leader")
     pairs = in_group.select(F.struct(F.col("lead").alias("a"), F.col("row").alias("b")).alias("p"))
     pairs = pairs.unionByName(in_lists.select(F.struct(F.least("lead", "leader").alias("a"), F.greatest("lead", "leader").alias("b")).alias("p")))
@@ -244,7 +297,7 @@ def component_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     # What is left: lists with entries of different components.
     placed = active.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    placed = materialize(placed.join(facts, "row"), "placed")
+    placed = materialize(placed.join(facts.drop("wide"), "row"), "placed")
     of_lists = lists.select("lead", "short", F.struct(F.lit(0).alias("kind"), F.col("list.element"), F.col("list.run")).alias("list"))
     of_groups = groups.where("size > 2").select("lead", F.lit(True).alias("short"), F.struct(F.lit(1).alias("kind"), F.col("lead").alias("element"), F.lit(0).cast("long").alias("run")).alias("list"))
     wanted = materialize(of_lists.unionByName(of_groups), "wanted")
@@ -267,30 +320,32 @@ def short_prefix(n: Column, percent: int) -> Column:
 
 
 def size_runs(entries: DataFrame, percent: int) -> DataFrame:
-    """list (element, run), lead, n, pos, short: entries of an element in runs of sizes that follow each other closely enough to link.
+    """list (element, run), lead, short: entries (element, lead, size_short: twice the size, and 1 for a short prefix) of an element in runs of sizes
+    that follow each other closely enough to link.
 
     A run has two entries at least, and one with a short prefix that is no larger than some other.
     """
-    order = Window.partitionBy("element").orderBy("n", "lead")
-    far = F.lag("n").over(order) * 100 < F.col("n") * percent
+    n, short = F.shiftright("size_short", 1), F.col("size_short") % 2 == 1
+    order = Window.partitionBy("element").orderBy("size_short", "lead")
+    far = F.lag(n).over(order) * 100 < n * percent
     ran = entries.withColumn("far", F.coalesce(far.cast("long"), F.lit(0)))
     ran = ran.withColumn("run", F.sum("far").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("element", "run")
-    counted = ran.withColumn("least", F.min(F.when(F.col("short"), F.col("n"))).over(whole)).where(F.col("short") | (F.col("n") >= F.col("least")))
+    counted = ran.withColumn("least", F.min(F.when(short, n)).over(whole)).where(short | (n >= F.col("least")))
     counted = counted.withColumn("_c", F.count(F.lit(1)).over(whole)).where("_c > 1")
-    return counted.select(F.struct("element", "run").alias("list"), "lead", "n", "pos", "short")
+    return counted.select(F.struct("element", "run").alias("list"), "lead", short.alias("short"))
 
 
 def screened(pairs: DataFrame, facts: DataFrame, percent: int, done: DataFrame | None = None) -> DataFrame:
-    """Pairs that pass the filters; facts has n and maps of every row. Pairs in done are left out."""
+    """Pairs that pass the filters; facts has n, maps and wide of every row. Pairs in done are left out."""
     if done is not None:
         pairs = pairs.join(done, ["a", "b"], "left_anti")
     for side in ("a", "b"):
         other = "b" if side == "a" else "a"
         counted = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_n"))
-        known = counted.join(facts.select(F.col("row").alias(side), F.col("n").alias(f"n_{side}"), F.col("maps").alias(f"maps_{side}")), side)
+        known = counted.join(facts.select(F.col("row").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "maps", "wide"))), side)
         pairs = materialize(lookup_join(pairs, materialize(known, "known"), side, "_n", F.col(other)).drop("_n"), "screen")
-    return materialize(pairs.where(passes(percent)).select("a", "b"), "screened")
+    return materialize(pairs.where(passes(percent)).where(passes_wide(percent)).select("a", "b"), "screened")
 
 
 def pair_texts(base: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from gridloom.llm.transducer import Cutter, byte_alphabet, byte_bpe, char_classe
 #: Pieces remembered per worker; the memory is emptied when full, so it stays bounded on any corpus.
 REMEMBERED = 600_000
 #: Characters cut at once; bounds a worker's memory however many rows a batch has.
-CHARS_AT_ONCE = 2_000_000
+CHARS_AT_ONCE = 500_000
 
 
 def public_path(name: str) -> str:
