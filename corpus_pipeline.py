@@ -7,12 +7,13 @@ nothing can be learnt and stage 1 keeps all documents.
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm._common import shared_dir
+from gridloom.llm._common import scratch, shared_dir
 from gridloom.llm.dedup import drop_duplicates
 from gridloom.llm.jaccard import drop_near_duplicates
 from gridloom.llm.mixing import mix
@@ -26,6 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     try:
         model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     except NoClasses:
+        logging.getLogger(__name__).warning("labels of one class only: the quality stage keeps all documents")
         return docs
     return score(docs, model, keep_text=True).where("predicted = 1").select(*docs.columns)
 
@@ -67,6 +69,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
