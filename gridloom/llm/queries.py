@@ -122,7 +122,7 @@ def op9_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/repair-{uuid.uuid4().hex}"
     write_shards(table(spark, sf_dir, "documents"), path, public_path("word_bpe_49k.json"), end_id=2)
-    return read_shards(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_shards(spark, path, with_ids=False)
 
 
 QUERIES = {

@@ -1,6 +1,6 @@
 """Token-id files compressed by a pair grammar (Re-Pair), with random-access decoding.
 
-File format: a Parquet folder with one row per shard, in ascending doc_id order: part, shard, n_ids and the shard's blob.
+File format: a Parquet folder with one row per shard, in ascending doc_id order: part, shard, before (ids of the part's earlier shards), n_ids, doc_ids and the shard's blob.
 A blob is self-contained; all numbers are little-endian::
 
     8 bytes   magic "GLRP0001"
@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm._common import shuffle_width, text_or_empty
-from gridloom.llm.tokens import encoder, texts_of
+from gridloom.llm.tokens import encoder, parts_of
 
 MAGIC = b"GLRP0001"
 #: A pair that occurs less often is left: its rule would take more room than it saves.
 LEAST_COUNT = 8
+#: By what the count that a round asks for falls from one to the next.
+FALL = 4
 BINS = 1 << 18
 SHARD_IDS = 1_000_000
 
@@ -58,22 +60,23 @@ def frequent_pairs(seq: np.ndarray, bins: np.ndarray, filled: np.ndarray, floor:
 def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, left, right): each round gives the most frequent pairs a nonterminal and replaces them left to right.
 
-    The count that a round asks for halves from one to the next down to LEAST_COUNT; rounds then go on until no pair reaches it.
+    The count that a round asks for falls from one to the next, by FALL, down to LEAST_COUNT; rounds then go on until no pair reaches it.
     """
     seq, lefts, rights = ids.astype(np.int32), [], []
     first, floor = terminals, len(ids)
     while len(seq) > 1:
         bins = bins_of(seq)
         filled = np.bincount(bins, minlength=BINS)
-        floor = max(LEAST_COUNT, min(floor, int(filled.max())) // 2)
+        floor = max(LEAST_COUNT, min(floor, int(filled.max())) // FALL)
         left, right = frequent_pairs(seq, bins, filled, floor)
         if not len(left):
             if floor == LEAST_COUNT:
                 break
             continue
-        rule_of = np.full(BINS, -1, np.int32)
-        rule_of[(left * 40503 + right) & (BINS - 1)] = np.arange(len(left))
-        where = np.flatnonzero(rule_of[bins] >= 0)
+        at = (left * 40503 + right) & (BINS - 1)
+        rule_of, ruled = np.zeros(BINS, np.int32), np.zeros(BINS, bool)
+        rule_of[at], ruled[at] = np.arange(len(left)), True
+        where = np.flatnonzero(ruled[bins])
         rule = rule_of[bins[where]]
         hit = (left[rule] == seq[where]) & (right[rule] == seq[where + 1])
         where, rule = where[hit], rule[hit]
@@ -181,7 +184,7 @@ class Shard:
         return self.ids(stop - int(self.doc_lengths[i]), stop)
 
 
-SHARDS = "part int, shard int, n_ids long, doc_ids array<{}>, blob binary"
+SHARDS = "part int, shard int, before long, n_ids long, doc_ids array<{}>, blob binary"
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
@@ -196,24 +199,23 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
 
         tokens = encoder(tokenizer)
         end = np.array([end_id], tokens.dtype).tobytes()
-        part, shard, names, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, shard, before, names, held, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([size], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([to_blob(held, tokens.size)], pa.binary())],
-                ["part", "shard", "n_ids", "doc_ids", "blob"],
+                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([to_blob(held, tokens.size)], pa.binary())],
+                ["part", "shard", "before", "n_ids", "doc_ids", "blob"],
             )
 
         for batch in batches:
-            texts, ids = texts_of(batch.column("text")), batch.column("doc_id").to_pylist()
-            for a in range(0, len(texts), 1000):
-                for name, x in zip(ids[a : a + 1000], tokens.encode(texts[a : a + 1000])):
+            for some, texts in parts_of(batch, "text"):
+                for name, x in zip(some.column("doc_id").to_pylist(), tokens.encode(texts)):
                     names.append(name)
                     held.append(np.frombuffer(x + end, tokens.dtype))
                     size += len(held[-1])
                     if size >= SHARD_IDS:
                         yield out()
-                        shard, names, held, size = shard + 1, [], [], 0
+                        shard, before, names, held, size = shard + 1, before + size, [], [], 0
         if names:
             yield out()
 
@@ -222,8 +224,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     ordered.mapInArrow(run, SHARDS.format("bigint")).write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) and ids_crc32 of every document at path.
+def read_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if with_ids, ids (little-endian unsigned 32-bit) of every document at path.
 
     Per-partition totals, one small row per written partition, give each shard's place in the whole.
     """
@@ -232,27 +234,25 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     base, at = {}, 0
     for p in sorted(totals):
         base[p], at = at, at + totals[p]
-    from pyspark.sql import Window
-
-    before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    places = shards.select("part", "shard", "n_ids").withColumn("place", F.coalesce(before, F.lit(0))).drop("n_ids")
-    placed = shards.join(places, ["part", "shard"])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.BinaryType())])
+    if not with_ids:
+        schema = T.StructType(schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row["blob"])
+            for i in range(batch.num_rows):
+                part, before, blob = (batch.column(c)[i].as_py() for c in ("part", "before", "blob"))
+                names = batch.column("doc_ids")[i].values
+                shard = Shard(blob)
                 every = shard.expand(shard.symbols)
                 ends = np.cumsum(shard.doc_lengths)
                 starts = ends - shard.doc_lengths
-                blobs = [every[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
-                first = base[row["part"]] + row["place"]
-                for a in range(0, len(blobs), 5000):
-                    some = blobs[a : a + 5000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(row["doc_ids"][a : a + 5000], pa.int64()), pa.array(first + starts[a : a + 5000]), pa.array(shard.doc_lengths[a : a + 5000]), pa.array(some, pa.binary()), pa.array([zlib.crc32(x) for x in some], pa.int64())],
-                        ["doc_id", "start", "n_tokens", "ids", "ids_crc32"],
-                    )
-
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("ids_crc32", T.LongType())])
-    return placed.mapInArrow(run, schema)
+                first = base[part] + before
+                for a in range(0, len(ends), 5000):
+                    some = [every[x:y] for x, y in zip(starts[a : a + 5000].tolist(), ends[a : a + 5000].tolist())]
+                    out = [names[a : a + 5000], pa.array(first + starts[a : a + 5000]), pa.array(shard.doc_lengths[a : a + 5000]), pa.array([zlib.crc32(x) for x in some], pa.int64())]
+                    if with_ids:
+                        out.append(pa.array([x.tobytes() for x in some], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(out, schema.names)
+
+    return shards.mapInArrow(run, schema)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import array
 import functools
+import itertools
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -19,6 +23,10 @@ REMEMBERED = 600_000
 CHARS_AT_ONCE = 500_000
 
 
+#: Characters that str.split() takes for blanks and the split pattern doesn't.
+NO_BLANK = re.compile("[\x1c-\x1f]")
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 
@@ -38,6 +46,18 @@ def slices(texts: list[str], most: int = CHARS_AT_ONCE) -> Iterator[list[str]]:
         yield run
 
 
+def parts_of(batch: pa.RecordBatch, text: str, most: int = CHARS_AT_ONCE) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Consecutive parts of a batch whose texts (null: empty) have about `most` bytes, with those texts; a longer text is a part of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.cumsum(sizes) - sizes
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(before + sizes, before[at] + most, "right")))
+        part = batch.slice(at, end - at)
+        yield part, texts_of(part.column(text))
+        at = end
+
+
 class Encoder:
     """Ids of texts as the tokenizers library gives them, without added begin or end tokens.
 
@@ -63,17 +83,17 @@ class Encoder:
         self.cutter = Cutter(joins_space=not self.normal, single_numbers=self.normal)
         self.size = self.library.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 65536 else "<u4")
+        self.code = "H" if self.size <= 65536 else "I"
         self.stand_in = {b: c for c, b in byte_alphabet().items()}
         self.known: dict[str, bytes] = {}
 
     def piece(self, text: str) -> bytes:
-        mapped = text.encode().decode("latin-1").translate(self.stand_in)
-        return np.array([t.id for t in self.model.tokenize(mapped)], self.dtype).tobytes()
+        # ASCII letters and digits stand for themselves.
+        mapped = text if text.isascii() and text.isalnum() else text.encode().decode("latin-1").translate(self.stand_in)
+        return array.array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def parts(self, texts: list[str]) -> tuple[list[str], list[list[int | bytes]]]:
         """Texts split at special strings, which stand for their own ids wherever they occur: plain parts, and per text where they are."""
-        import re
-
         pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         plain: list[str] = []
         layout: list[list[int | bytes]] = []
@@ -99,25 +119,35 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text, its ids as bytes of self.dtype."""
         out: list[bytes] = []
+        known = self.known
         for run in slices(texts):
             plain, layout = self.parts(run)
-            pieces, first = cut(self.cutter, self.classes, plain, blanks=not self.normal) if plain else ([], np.zeros(1, np.int64))
-            known = self.known
             if len(known) > REMEMBERED:
                 known.clear()
-            got = list(map(known.get, pieces))
-            for i, x in enumerate(got):
-                if x is None:
-                    p = pieces[i]
-                    x = known.get(p)
-                    if x is None:
-                        x = known[p] = self.piece(p)
-                    got[i] = x
-            at = first.tolist()
-            whole = [b"".join(got[a:b]) for a, b in zip(at, at[1:])]
+            if self.normal and not any(map(NO_BLANK.search, plain)):
+                # White space ends every piece and is dropped, so ids of a word between blanks depend on nothing else.
+                words = [t.split() for t in plain]
+                fresh = list(set(itertools.chain.from_iterable(words)).difference(known))
+                known |= zip(fresh, self.cut_ids(fresh))
+                whole = [b"".join(map(known.__getitem__, w)) for w in words]
+            else:
+                whole = self.cut_ids(plain)
             out += [b"".join(whole[x] if isinstance(x, int) else x for x in row) for row in layout]
         return out
 
+    def cut_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special strings, by their pieces."""
+        known = self.known
+        out: list[bytes] = []
+        for run in slices(texts):
+            pieces, first = cut(self.cutter, self.classes, run, blanks=not self.normal)
+            for p in set(pieces).difference(known):
+                known[p] = self.piece(p)
+            got = list(map(known.__getitem__, pieces))
+            at = first.tolist()
+            out += [b"".join(got[a:b]) for a, b in zip(at, at[1:])]
+        return out
+
 
 class Counter:
     """Token counts by the two transducers alone; no ids are made."""
@@ -148,14 +178,9 @@ class Counter:
             known, count = self.known, self.counter.count
             if len(known) > REMEMBERED:
                 known.clear()
-            got = list(map(known.get, pieces))
-            for i, x in enumerate(got):
-                if x is None:
-                    p = pieces[i]
-                    x = known.get(p)
-                    if x is None:
-                        x = known[p] = count(p.encode())
-                    got[i] = x
+            for p in set(pieces).difference(known):
+                known[p] = count(p.encode())
+            got = list(map(known.__getitem__, pieces))
             sums = np.concatenate([[0], np.cumsum(np.array(got, np.int64))])
             per = sums[first[1:]] - sums[first[:-1]]
             out.append(extra + np.bincount(owner, per, len(run)).astype(np.int64))
@@ -192,10 +217,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = counter(path)
         for batch in batches:
-            texts = texts_of(batch.column(text))
-            n = machine.count(texts)
-            size = pa.array([len(t.encode()) for t in texts], pa.int64())
-            columns = [batch.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, size, pa.array(n), pa.array(n > limit)], [*[f.name for f in kept], *added])
+            for part, texts in parts_of(batch, text):
+                n = machine.count(texts)
+                size = pa.array([len(t.encode()) for t in texts], pa.int64())
+                columns = [part.column(f.name) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, size, pa.array(n), pa.array(n > limit)], [*[f.name for f in kept], *added])
 
     return docs.mapInArrow(run, schema)
