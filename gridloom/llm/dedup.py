@@ -1,6 +1,6 @@
 """Exact deduplication of incoming batches against immutable snapshots.
 
-A snapshot holds one entry per distinct text: digest, the doc_id that stays, the number of copies and the text's bytes. Its entries
+A snapshot holds one entry per distinct text: digest, the doc_id that stays and the number of copies; the bytes stay with the documents. Its entries
 lie in buckets by digest, and each bucket has a static binary-fuse filter. A batch is first grouped by digest (copies within the
 batch meet here, with partial aggregation, so a text that fills a third of it costs one row per task). The distinct
 digests are screened by the filters of their buckets: what a filter denies is new; what it passes joins the exact bucket, where
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import lookup_join, materialize, text_or_empty
+from gridloom.llm._common import lookup_join, materialize, new_name, scratch, text_or_empty
 from gridloom.llm.fuse import BinaryFuse
 
 #: Entries per bucket that sizing aims at; a filter over them takes about half a megabyte.
@@ -33,7 +33,7 @@ def normalized(text: Column) -> Column:
 
 @dataclass
 class Snapshot:
-    """entries: bucket, digest, keep_id, group_size, body; filters: bucket, filter."""
+    """entries: bucket, digest, keep_id, group_size; filters: bucket, filter."""
 
     entries: DataFrame
     filters: DataFrame
@@ -73,9 +73,9 @@ def build_filters(entries: DataFrame) -> DataFrame:
     return entries.select("bucket", "digest").groupBy("bucket").applyInPandas(build, "bucket int, filter binary")
 
 
-def snapshot(batch: DataFrame, docs: DataFrame) -> Snapshot:
-    """Freeze the groups of docs as a snapshot."""
-    n = batch.count()
+def snapshot(batch: DataFrame, arriving: int = 0) -> Snapshot:
+    """Freeze groups as a snapshot. arriving: how many groups a batch may have at most; buckets suit the larger of the two sides."""
+    n = max(batch.count(), arriving)
     buckets = max(1, -(-n // BUCKET_ENTRIES))
     entries = materialize(batch.withColumn("bucket", bucket_of(F.col("digest"), buckets)), "snapshot")
     return Snapshot(entries, materialize(build_filters(entries), "filters"), buckets)
@@ -119,10 +119,15 @@ def exact_duplicates(docs: DataFrame, arriving: Column | None = None) -> DataFra
     arriving marks the rows of the incoming batch; the others form the snapshot. Without it, half of the rows by hash of doc_id
     arrive, so that both ways through the operator are used.
     """
+    with scratch(docs.sparkSession):
+        return materialize(found_duplicates(docs, arriving), "duplicates", keep=True)
+
+
+def found_duplicates(docs: DataFrame, arriving: Column | None) -> DataFrame:
     arriving = F.xxhash64("doc_id") % 2 == 0 if arriving is None else arriving
     rows = materialize(digests(docs).withColumn("arrives", arriving), "digests")
     source = docs.select("doc_id", "text").withColumn("arrives", arriving)
-    old = snapshot(groups(rows.where("NOT arrives")), source.where("NOT arrives"))
+    old = snapshot(groups(rows.where("NOT arrives")), rows.where("arrives").count())
     batch = groups(rows.where("arrives"))
     merged = materialize(ingest(source.where("arrives"), source.where("NOT arrives"), old, batch), "merged")
     joined = lookup_join(rows.select("doc_id", "digest"), merged, "digest", "group_size", F.col("doc_id"))
@@ -130,8 +135,9 @@ def exact_duplicates(docs: DataFrame, arriving: Column | None = None) -> DataFra
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without later copies; equal rows, doc_id included, stay once per doc_id and text."""
-    keep = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), "text_sha256").distinct()
-    digest = F.sha2(normalized(text_or_empty()), 256)
-    matched = docs.withColumn("_sha", digest).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("text_sha256")))
-    return matched.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    """docs without later copies; equal rows, doc_id included, stay once per doc_id and text. Columns of docs may have any names."""
+    sha, id_, kept_sha = (new_name(docs.columns, c) for c in ("sha", "kept_id", "kept_sha"))
+    keep = exact_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(kept_sha)).distinct()
+    matched = docs.withColumn(sha, F.sha2(normalized(text_or_empty()), 256))
+    matched = matched.join(keep, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(sha) == F.col(kept_sha)), "left_semi")
+    return matched.dropDuplicates(["doc_id", sha]).select(*docs.columns)

@@ -33,7 +33,7 @@ from gridloom.llm._common import lookup_join, materialize, new_name, scratch, te
 from gridloom.llm.components import components
 from gridloom.llm.fuse import mix
 from gridloom.llm.quality import WHITE
-from gridloom.llm.tokens import slices, texts_of
+from gridloom.llm.tokens import parts_of, slices
 
 COUNTERS = 1 << 20
 CHUNKS = 64
@@ -92,7 +92,7 @@ def counter_table(docs: DataFrame, words: int) -> np.ndarray:
 
         table = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for some in slices(texts_of(batch.column("text"))):
+            for _, some in parts_of(batch, "text"):
                 hashes, _ = shingle_sets(some, words)
                 table += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         if table.any():
@@ -139,10 +139,8 @@ def signatures(docs: DataFrame, words: int, percent: int, counters: np.ndarray)
 
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            at = 0
-            for some in slices(texts_of(batch.column("text"))):
-                ids, marks = (batch.column(c).slice(at, len(some)) for c in ("doc_id", "text_hash"))
-                at += len(some)
+            for part, some in parts_of(batch, "text"):
+                ids, marks = part.column("doc_id"), part.column("text_hash")
                 hashes, owners = shingle_sets(some, words)
                 n = np.bincount(owners, minlength=len(some))
                 stop = np.cumsum(n)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import lookup_join, materialize, shuffle_width, text_or_empty
+from gridloom.llm._common import lookup_join, materialize, new_name, shuffle_width, text_or_empty
 
 MIN_WORDS = 50
 LAST_ID = (1 << 63) - 1
@@ -106,10 +106,11 @@ def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     if clash := [c for c in ("n_lines", "removed_lines") if c in docs.columns]:
         raise ValueError(f"columns {clash} are already there")
     lines = materialize(line_table(docs), "lines")
-    gone = later_copies(lines, min_words)
-    joined = docs.withColumn("_doc", document_key()).join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    doc, gone = (new_name(docs.columns, c) for c in ("_doc", "gone"))
+    found = later_copies(lines, min_words).select(F.col("doc").alias(doc), F.col("gone").alias(gone))
+    joined = docs.withColumn(doc, document_key()).join(found, doc, "left")
     split = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
     columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed_lines"))
+    return joined.select(*columns, F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).alias("removed_lines"))

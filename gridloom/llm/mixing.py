@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import shuffle_width
+from gridloom.llm._common import new_name, shuffle_width
 
 SEED = "mix-1"
 TEMPERATURE = 0.7
@@ -66,7 +66,7 @@ def source_rates(docs: DataFrame, weights: dict | None = None, size: float = 1.0
     weights maps source to target weight; without it the weight is rows ** TEMPERATURE, the usual
     flattening of a skewed mix. size is the size of the mix as a multiple of the input's rows.
     """
-    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
+    counts = docs.select("source").groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
     if weights is None:
         weight = F.pow(F.col("_n").cast("double"), F.lit(TEMPERATURE))
     else:
@@ -89,14 +89,15 @@ def mix(docs: DataFrame, weights: dict | None = None, size: float = 1.0, seed: s
     """
     if clash := [c for c in ADDED if c in docs.columns]:
         raise ValueError(f"columns {clash} are already there")
-    rates = source_rates(docs, weights, size)
+    source, first, cdf, n = (new_name(docs.columns, c) for c in ("_source", "_first", "_cdf", "_n"))
+    rates = source_rates(docs, weights, size).withColumnsRenamed({"_source": source, "_first": first, "_cdf": cdf})
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    joined = docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-    n = F.col("_first") + F.size(F.filter("_cdf", lambda c: c <= uniform(F.col("doc_id"), seed)))
-    copies = joined.withColumn("_n", n).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    joined = docs.join(rates, F.col("source").eqNullSafe(F.col(source)))
+    drawn = F.col(first) + F.size(F.filter(cdf, lambda c: c <= uniform(F.col("doc_id"), seed)))
+    copies = joined.withColumn(n, drawn).where(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     key = F.md5(F.concat(F.lit(seed + ":order:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("copy").cast("string")))
-    keyed = copies.drop("_source", "_first", "_cdf", "_n").withColumn("mix_key", key)
+    keyed = copies.drop(source, first, cdf, n).withColumn("mix_key", key)
     return shuffled(keyed).select(*docs.columns, *ADDED)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm._common import materialize, shuffle_width, text_or_empty
-from gridloom.llm.tokens import encoder, texts_of
+from gridloom.llm.tokens import encoder, parts_of
 
 BITS, DIMS = 10, 3
 SEED = 20_240_501
@@ -76,11 +76,10 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         tokens = encoder(path)
         vectors, end = token_vectors(tokens.size), np.array([end_id], tokens.dtype).tobytes()
         for batch in batches:
-            texts = texts_of(batch.column("text"))
-            for a in range(0, len(texts), 2000):
-                ids = [x + end for x in tokens.encode(texts[a : a + 2000])]
+            for part, texts in parts_of(batch, "text"):
+                ids = [x + end for x in tokens.encode(texts)]
                 keys = curve_keys([np.frombuffer(x, tokens.dtype) for x in ids], vectors)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a : a + 2000], pa.array(keys), pa.array(ids, pa.binary())], ["doc_id", "curve", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys), pa.array(ids, pa.binary())], ["doc_id", "curve", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, curve long, ids binary")

@@ -482,3 +482,105 @@ def test_mixing_edge_cases(spark, odd, empty):
     assert mixing.mix(odd, {"nowhere": 1}).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(odd.withColumn("copy", F.lit(1)))
+
+
+# internal names, maps, codes
+
+
+def test_clashing_names(spark, odd):
+    """Columns of the caller may be called anything that an operator uses inside."""
+    names = ["_id", "_hash", "_n", "_source", "_cdf", "_first", "_doc", "gone", "text_sha256", "kept_id", "kept_hash", "sha", "kept_sha", "row", "n", "digest", "group", "lead", "bucket", "key", "list", "root", "ids", "curve", "rank", "level"]
+    wide = odd.select("*", *(F.concat_ws("-", F.lit(n), F.col("doc_id"), F.xxhash64("text")).alias(n) for n in names))
+    for stage in (dedup.drop_duplicates, jaccard.drop_near_duplicates, lambda d: mixing.mix(d, {"x": 1.0, "y": 1.0}, 5.0).select(*d.columns), linededup.drop_repeated_runs):
+        plain = sorted(map(tuple, stage(odd).select("doc_id", "lang", "source", "text").collect()), key=str)
+        got = stage(wide)
+        assert sorted(map(tuple, got.select("doc_id", "lang", "source", "text").collect()), key=str) == plain
+        for r in got.collect():
+            assert all(r[n].startswith(n + "-") for n in names)
+    for run in (dedup.exact_duplicates, jaccard.near_components, lambda d: packing.pack(d, BYTE), lambda d: tokens.count_tokens(d, BYTE), lambda d: audio.audio_columns(d)):
+        assert run(wide).count() == run(odd).count()
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(520, 3000), st.integers(0, 400), st.integers(0, 400))
+def test_wide_maps_never_lose_a_pair(common, left, right):
+    r = np.random.default_rng(common * 1000 + left)
+    every = np.unique(r.integers(0, 2**64, common + left + right, np.uint64))
+    r.shuffle(every)
+    a, b = np.sort(every[: common + left]), np.sort(np.concatenate([every[:common], every[common + left :]]))
+    x, y = jaccard.wide_map(a), jaccard.wide_map(b)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) == 2 * len(x):
+        y = y[: len(x)] ^ y[len(x) :]
+    assert len(x) == len(y)
+    assert sum(int(v & (2**64 - 1)).bit_count() for v in (x ^ y).tolist()) <= len(np.setxor1d(a, b))
+
+
+def test_large_sets_are_compared(spark):
+    r = random.Random(3)
+    base = [f"w{r.randrange(10**6)}" for _ in range(3000)]
+    near, far = base.copy(), base.copy()
+    for i in r.sample(range(3000), 60):
+        near[i] = "x"
+    for i in r.sample(range(3000), 400):
+        far[i] = "y"
+    texts = [" ".join(x) for x in (base, near, far, [f"v{r.randrange(10**6)}" for _ in range(2000)])]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_components(make(spark, texts)).collect())
+    assert got == sorted(brute_components(list(enumerate(texts)), 4, 85)) and [c for _, _, c in got] == [0, 0, 2, 3]
+
+
+def test_shared_shingle_of_a_third_of_all(spark):
+    r = random.Random(5)
+    texts = [" ".join(["all of them say"] * (i % 3 == 0) + [f"w{r.randrange(60)}" for _ in range(r.randrange(1, 6))]) for i in range(240)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_components(make(spark, texts)).collect())
+    assert got == sorted(brute_components(list(enumerate(texts)), 4, 85))
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(-32768, 32767), min_size=1, max_size=50))
+def test_coded_samples(samples):
+    x = np.array(samples, np.int16)
+    assert audio.decode_pcm(audio.code_pcm(x)).tolist() == samples
+
+
+def test_audio_features(spark):
+    """The feature string, worked out anew for one text."""
+    r = audio.audio_columns(make(spark, ["some text " * 40])).first()
+    load = ("some text " * 40).encode().ljust(576)
+    linear = [int(audio.MULAW_TABLE[b]) for b in load]
+    up = [v for i, s in enumerate(linear) for v in (s, (s + linear[min(i + 1, len(linear) - 1)]) // 2)]
+    parts = r["feature"].split("|")
+    mean, signs = sum(linear) // len(linear), sum((p < 0) != (q < 0) for p, q in zip(linear, linear[1:]))
+    assert parts[0] == f"{sum(s * s for s in linear) // len(linear)},{mean},{max(map(abs, linear))},{signs}"
+    assert int(parts[3]) == zlib.crc32(np.array(up, "<i2").tobytes())
+
+
+def test_quality_learns_kinds_of_noise(spark):
+    """Few labels, unseen words: repeats and broken words are told from prose, alone or beside others."""
+    r = random.Random(1)
+    prose = lambda: " ".join(r.choice("the of and river mountain city people water green house walked under over long".split()) + str(r.randrange(3)) * (r.random() < 0.1) for _ in range(60))
+    same = lambda: " ".join(w for w in (f"q{r.randrange(10**6)}" for _ in range(6)) for _ in range(10))
+    rows = [(i, same() if i % 4 == 0 else prose(), int(i % 4 != 0)) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] + [(4, 1), (None, 0), (1, None), (9999, 0)], "doc_id long, quality int")
+    got = quality.score(docs, quality.train(docs, labels)).withColumn("held_out", quality.held_out(F.col("doc_id"))).collect()
+    assert sum(r["held_out"] for r in got) > 40
+    assert all((r["score"] >= 0.5) == bool(r["predicted"]) == (r["doc_id"] % 4 != 0) for r in got if r["held_out"])
+    with pytest.raises(quality.NoClasses):
+        quality.train(docs.limit(0), labels)
+    with pytest.raises(ValueError):
+        quality.score(docs.withColumn("score", F.lit(1)), quality.train(docs, labels))
+
+
+def test_scratch_is_deleted(spark):
+    from pathlib import Path
+
+    from gridloom.llm import _common
+
+    root = Path(_common.shared_dir(spark).removeprefix("file:").replace("//", "/"))
+    before = set(root.iterdir())
+    with _common.scratch(spark):
+        _common.materialize(spark.range(5), "gone")
+        kept = _common.materialize(spark.range(5), "stays", keep=True)
+    assert len(set(root.iterdir()) - before) == 1 and kept.count() == 5
