@@ -59,6 +59,18 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
+    """Within the block, Arrow batches that Spark sends to Python hold about `most` bytes; for work that is done when the block ends."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def new_name(taken: list[str], label: str) -> str:
     """A column name made from label that none of taken has, whatever its case."""
     have = {c.lower() for c in taken}

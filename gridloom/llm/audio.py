@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gridloom.llm._common import batch_bytes
 from gridloom.llm.tokens import slices, texts_of
 
 UNIT = 192
@@ -239,8 +240,8 @@ def audio_columns(docs: DataFrame, text: str = "text", keep_media: bool = True)
     return docs.mapInArrow(run, schema)
 
 
-#: How files and samples are written: level 6 takes a tenth less room than the default.
-STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6", "parquet.block.size": str(16 << 20)}
+#: How files and samples are written: level 6 and larger pages take a tenth less room than the defaults.
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6", "parquet.page.size": str(4 << 20), "parquet.block.size": str(16 << 20)}
 
 
 def store_media(docs: DataFrame, path: str, text: str = "text") -> None:
@@ -258,7 +259,8 @@ def store_media(docs: DataFrame, path: str, text: str = "text") -> None:
                 at += len(some)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *(pa.array(found[c], T_ARROW[c]) for c in added)], [*(f.name for f in kept), *added])
 
-    docs.mapInArrow(run, schema).write.options(**STORED).parquet(path)
+    with batch_bytes(docs.sparkSession):
+        docs.mapInArrow(run, schema).write.options(**STORED).parquet(path)
 
 
 def read_media(stored: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import lookup_join, materialize, new_name, scratch, text_or_empty
+from gridloom.llm._common import batch_bytes, lookup_join, materialize, new_name, scratch, text_or_empty
 from gridloom.llm.components import components
 from gridloom.llm.fuse import mix
 from gridloom.llm.quality import WHITE
@@ -260,7 +260,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) ->
 
 def component_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and component_row (distinct by component) of every document."""
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), batch_bytes(docs.sparkSession):
         return materialize(found_components(docs, words, percent), "components", keep=True)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import materialize, shuffle_width, text_or_empty
+from gridloom.llm._common import batch_bytes, materialize, shuffle_width, text_or_empty
 from gridloom.llm.tokens import encoder, parts_of
 
 BITS, DIMS = 10, 3
@@ -91,7 +91,8 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0) -> Dat
     ids holds the piece's ids as little-endian unsigned 32-bit integers. The hot source spreads over partitions like any
     other, and equal documents are told apart by doc_id when the ranges are drawn.
     """
-    rows = materialize(encoded(docs, path, end_id), "pack")
+    with batch_bytes(docs.sparkSession):
+        rows = materialize(encoded(docs, path, end_id), "pack")
     ordered = rows.repartitionByRange(shuffle_width(docs.sparkSession), "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,12 +93,13 @@ def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
-    from gridloom.llm._common import shared_dir
+    from gridloom.llm._common import batch_bytes, materialize, shared_dir
     from gridloom.llm.audio import read_media, store_media
 
     path = f"{shared_dir(spark)}/audio-{uuid.uuid4().hex}"
     store_media(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return read_media(spark.read.parquet(path))
+    with batch_bytes(spark):
+        return materialize(read_media(spark.read.parquet(path)), "figures")
 
 
 def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm._common import shuffle_width, text_or_empty
+from gridloom.llm._common import batch_bytes, shuffle_width, text_or_empty
 from gridloom.llm.tokens import encoder, parts_of
 
 MAGIC = b"GLRP0001"
@@ -221,7 +221,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     ordered = ordered.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, SHARDS.format("bigint")).write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
+    with batch_bytes(docs.sparkSession):
+        ordered.mapInArrow(run, SHARDS.format("bigint")).write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
