@@ -6,6 +6,7 @@ parent are tied by smoothness edges, weaker with more DOM levels between them. A
 boilerplate at least total cost, and the content blocks are joined in page order.
 
 Defined cases: a null or empty page, and one without content, gives an empty text; broken, unclosed or cut-off mark-up is read as far as it goes;
+a page of any length or depth takes time in proportion to its size;
 other columns pass through, and ones named like added columns are refused; equal pages give equal texts; an empty table gives an empty result.
 """
 
@@ -14,9 +15,9 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +43,11 @@ BOILER_NAMES = set(
     commentlist respond reply replies disqus discussion reactions social share sharing pagination pager tags tagcloud skip hidden""".split()
 )
 CONTENT_NAMES = set("article content main post entry story body text prose".split())
+# Parts that say where or in what form an element stands, not what it is: comment-list is a comment, comment-free isn't.
+FRAME_NAMES = set(
+    """area bar block body bottom box button buttons col container content form global group holder icon icons inner item items left link links list main media message meta
+    outer page panel posts primary region results right row secondary section site slot text top trail unit wrap wrapper""".split()
+)
 # A class such as has-sidebar or comments-open tells about the page, not about the element.
 ABOUT_PAGE = set("has no not with without open closed enabled disabled".split())
 
@@ -65,6 +71,7 @@ class Node:
     boiler: bool
     content_tag: bool
     content_name: bool
+    parent: Node | None = None
 
 
 @dataclass
@@ -74,12 +81,19 @@ class Block:
     node: Node
     heading: bool
     item: bool
-    path: tuple[int, ...] = field(default_factory=tuple)
+
+
+def names_boilerplate(name: str) -> bool:
+    """Whether a class or id names boilerplate: as its last part, or with nothing beside it but parts that frame it."""
+    parts = [p.lower() for p in PART.findall(name) if not p.isdigit()]
+    if not parts or not ABOUT_PAGE.isdisjoint(parts) or BOILER_NAMES.isdisjoint(parts):
+        return False
+    return parts[-1] in BOILER_NAMES or all(p in BOILER_NAMES or p in FRAME_NAMES for p in parts)
 
 
 def open_node(tag: str, attributes: str, parent: Node, number: int) -> Node:
     if tag in HIDDEN or tag == "option":
-        return Node(tag, number, parent.depth + 1, True, False, False)
+        return Node(tag, number, parent.depth + 1, True, False, False, parent)
     boiler, content_name = tag in BOILER_TAGS, False
     if attributes and not attributes.isspace():
         for m in ATTRIBUTE.finditer(attributes):
@@ -90,15 +104,14 @@ def open_node(tag: str, attributes: str, parent: Node, number: int) -> Node:
                 boiler |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
             else:
                 for one in value.split():
-                    parts = {p.lower() for p in PART.findall(one)}
-                    boiler |= bool(parts & BOILER_NAMES) and not parts & ABOUT_PAGE
-                    content_name |= bool(parts & CONTENT_NAMES)
+                    boiler |= names_boilerplate(one)
+                    content_name |= not CONTENT_NAMES.isdisjoint(p.lower() for p in PART.findall(one))
                 boiler |= name == "role" and value.lower() in ("banner", "contentinfo", "complementary", "dialog", "menubar")
     if tag in ("body", "html"):
         boiler = False
     if tag == "header" and parent.content_tag:
         boiler = parent.boiler
-    return Node(tag, number, parent.depth + 1, boiler or parent.boiler, tag in CONTENT_TAGS or parent.content_tag, content_name or parent.content_name)
+    return Node(tag, number, parent.depth + 1, boiler or parent.boiler, tag in CONTENT_TAGS or parent.content_tag, content_name or parent.content_name, parent)
 
 
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -144,6 +157,7 @@ def blocks(page: str) -> list[Block]:
     """Blocks of text of a page, with white space single and character references decoded."""
     root = Node("", 0, 0, False, False, False)
     stack, found, number = [root], [], 0
+    opened: Counter[str] = Counter()
     buffer: list[str] = []
     linked, in_link = 0, 0
 
@@ -155,7 +169,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 node = stack[-1]
                 tags = [n.tag for n in stack[-3:]]
-                found.append(Block(text, linked, node, any(t in HEADINGS for t in tags), any(t in ("li", "dd", "dt", "option") for t in tags), tuple(n.number for n in stack)))
+                found.append(Block(text, linked, node, any(t in HEADINGS for t in tags), any(t in ("li", "dd", "dt", "option") for t in tags)))
         linked = 0
 
     def data(raw: str) -> None:
@@ -173,13 +187,25 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked, in_link
         while held and held[-1][0] >= i:
             at, _, line, linked, in_link = held.pop()
-            del stack[at:]
+            cut(at)
             buffer[:] = line
             if i < at:
                 flush()
+        cut(i)
+
+    def cut(i: int) -> None:
+        opened.subtract(n.tag for n in stack[i:])
         del stack[i:]
 
+    def push(tag: str, attributes: str) -> None:
+        nonlocal number
+        number += 1
+        opened[tag] += 1
+        stack.append(open_node(tag, attributes, stack[-1], number))
+
     def close(tags: set[str] | frozenset[str], stop: set[str]) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 drop(i)
@@ -201,8 +227,6 @@ def blocks(page: str) -> list[Block]:
                 buffer.append(" " if tag == "br" else "")
             elif tag in LEAVES and not ending:
                 buffer.append(" ")
-            elif not ending and attributes and any(x in attributes for x in ("hidden", "none")):
-                pass
             continue
         if tag in HIDDEN:
             if ending:
@@ -213,8 +237,8 @@ def blocks(page: str) -> list[Block]:
             elif k in pairs:
                 held.append((len(stack), k, buffer.copy(), linked, in_link))
                 buffer.clear()
-                linked, in_link, number = 0, 0, number + 1
-                stack.append(open_node(tag, attributes, stack[-1], number))
+                linked, in_link = 0, 0
+                push(tag, attributes)
             continue
         flush()
         in_link = in_link if tag in ("div", "p") or tag in HEADINGS else 0
@@ -229,8 +253,7 @@ def blocks(page: str) -> list[Block]:
             close({"p"}, {"div", "td", "th", "li", "article", "section", "main", "body", "blockquote", "form", "aside", "nav", "header", "footer"} | HIDDEN)
         if tag in ("li", "dt", "dd", "tr", "td", "th"):
             close({"li"} if tag == "li" else {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag != "tr" else {"tr"}, {"ul", "ol", "dl", "table", "tr"} - {tag} | HIDDEN)
-        number += 1
-        stack.append(open_node(tag, attributes, stack[-1], number))
+        push(tag, attributes)
     flush()
     drop(1)
     flush()
@@ -247,14 +270,14 @@ def log_odds(b: Block) -> float:
     return z
 
 
-def levels_between(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """DOM edges between two blocks' parents."""
-    same = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
+def levels_between(a: Node, b: Node) -> int:
+    """DOM edges between two nodes. Between neighbouring blocks they are no more than the tags that stand between them."""
+    steps = 0
+    while a is not b:
+        if a.depth < b.depth:
+            a, b = b, a
+        a, steps = a.parent, steps + 1
+    return steps
 
 
 def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
@@ -262,8 +285,8 @@ def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(bs):
         if i:
-            out.append((i - 1, i, ADJACENT / (1 + levels_between(bs[i - 1].path, b.path))))
-        parent = b.path[-2] if len(b.path) > 1 else -1
+            out.append((i - 1, i, ADJACENT / (1 + levels_between(bs[i - 1].node, b.node))))
+        parent = b.node.parent.number if b.node.parent else -1
         if parent in last and last[parent] != i - 1:
             out.append((last[parent], i, SIBLING))
         last[parent] = i

@@ -584,3 +584,16 @@ def test_scratch_is_deleted(spark):
         _common.materialize(spark.range(5), "gone")
         kept = _common.materialize(spark.range(5), "stays", keep=True)
     assert len(set(root.iterdir()) - before) == 1 and kept.count() == 5
+
+
+def test_names_and_depth_of_pages():
+    import time
+
+    page = "<article><p>Some words are here to be read by all.</p><p class='{}'>These words are here as well.</p></article>"
+    for name in ("text-ad-free", "comment-free", "search-results-story", "promotion-theory", "has-sidebar"):
+        assert html.main_text(page.format(name)).endswith("These words are here as well."), name
+    for name in ("ad", "ad-slot", "main-nav", "cookie-banner", "comment-list", "relatedPosts", "site-footer", "ad-12"):
+        assert html.main_text(page.format(name)).endswith("read by all."), name
+    began = time.time()
+    text = html.main_text("<article>" + "<div>one two three four five six.</b2>" * 100_000)
+    assert text.count("one two") == 100_000 and time.time() - began < 20
