@@ -1,6 +1,6 @@
 """Registered queries of the raster engine and their SQL for DuckDB."""
 
-from gridloom import queries
+from gridloom import queries, raster_queries
 
 QUERIES = queries.QUERIES
-ORACLES = queries.ORACLES
+ORACLES = raster_queries.ORACLES

@@ -41,9 +41,13 @@ def overlay(pixels: DataFrame, resolution: int, subsamples: int, points: Column,
         raise ArgumentError("subsamples must be from 2 to 64")
     cells = F.transform(points, lambda p: lonlat_to_cell(p["lon"], p["lat"], resolution) if keep is None else F.when(keep(p["lon"], p["lat"]), lonlat_to_cell(p["lon"], p["lat"], resolution)))
     with_cells = pixels.withColumn("_cells", F.filter(cells, lambda c: c.isNotNull()))
-    each = with_cells.withColumn("cell", F.explode(F.array_distinct("_cells")))
-    share = F.size(F.filter("_cells", lambda c: c == F.col("cell"))) / F.lit(float(subsamples**2))
-    return each.withColumn("w", share).drop("_cells")
+    part = lambda n: n / F.lit(float(subsamples**2))
+    pair = lambda c, n: F.struct(c.alias("cell"), part(n).alias("w"))
+    # Most pixels lie in one cell; only those that straddle an edge are counted cell by cell.
+    single = F.array(pair(F.array_min("_cells"), F.size("_cells")))
+    several = F.transform(F.array_distinct("_cells"), lambda c: pair(c, F.size(F.filter("_cells", lambda x: x == c))))
+    hits = F.when(F.array_min("_cells") == F.array_max("_cells"), single).otherwise(several)
+    return with_cells.withColumn("_hit", F.explode(hits)).select(*pixels.columns, "_hit.cell", "_hit.w")
 
 
 def stencil(x: Column, y: Column, interp: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.errors import ArgumentError
-from gridloom.operators.stats import class_weights, summarise, weighted
+from gridloom.operators.stats import class_weights, summarise, weighted, with_centres
 
 REDUCERS = ("mean", "median", "min", "max", "sum", "count", "var", "sd", "majority")
 
@@ -17,14 +17,19 @@ def separate(pixels: DataFrame, bands: Sequence[str], stat: str, labels: Sequenc
     """One row per cell with a column <label>_<band> for each source, from a single aggregation."""
     if len(set(labels)) != len(labels):
         raise ArgumentError("source labels must be distinct")
+    return separate_columns(pixels, [(name, b, f"{name}_{b}") for name in labels for b in bands], stat, source, weight)
+
+
+def separate_columns(pixels: DataFrame, columns: Sequence[tuple[str, str, str]], stat: str, source: str = "src", weight: str | None = None) -> DataFrame:
+    """One row per cell with a column for each (label, column of pixels, output name). Cells in which none has a value are left out."""
     w = F.col(weight) if weight else None
-    out = []
-    for name in labels:
-        mine = F.col(source).cast("string") == name
-        for b in bands:
-            out.append(weighted(F.when(mine, F.col(b).cast("double")), w, stat).alias(f"{name}_{b}"))
-    some = F.coalesce(*[F.col(b).cast("double") for b in bands]).isNotNull()
-    return pixels.where(some & F.col(source).cast("string").isin(list(labels))).groupBy("cell").agg(*out)
+    label = F.col(source).cast("string")
+    of = {name: F.when(label == one, F.col(column).cast("double")) for one, column, name in columns}
+    valid, centres = pixels.where(F.coalesce(*of.values()).isNotNull()), {}
+    if w is not None and stat in ("var", "sd"):
+        valid, by_column = with_centres(valid, sorted({c for _, c, _ in columns}))
+        centres = {name: by_column[column] for _, column, name in columns}
+    return valid.groupBy("cell").agg(*[weighted(v, w, stat, centres.get(name)).alias(name) for name, v in of.items()])
 
 
 def per_source(pixels: DataFrame, band: str, stat: str, source: str = "src", weight: str | None = None) -> DataFrame:
@@ -65,8 +70,12 @@ def reduced(v: Column, w: Column, reducer: str) -> Column:
         return F.coalesce(F.sum(v), F.lit(0.0))
     if reducer == "count":
         return F.count(v).cast("double")
-    spread = F.sum(w * v * v) - F.sum(w * v) * F.sum(w * v) / total
-    var = F.when(F.count(v) >= 2, F.greatest(F.lit(0.0), spread) / (total - F.sum(w * w) / total))
+    # A cell has one row per source, so its values are gathered; squares are summed about the least one, which keeps digits where values differ little.
+    low = F.min(F.when(w.isNotNull(), v))
+    each = F.collect_list(F.when(v.isNotNull() & w.isNotNull(), F.struct(v.alias("v"), w.alias("w"))))
+    about = lambda power: F.aggregate(each, F.lit(0.0), lambda total, x: total + x["w"] * F.pow(x["v"] - low, F.lit(power)))
+    spread = F.greatest(F.lit(0.0), about(2.0) - about(1.0) * about(1.0) / total)
+    var = F.when(F.count(v) >= 2, spread / (total - F.sum(w * w) / total))
     return F.sqrt(var) if reducer == "sd" else var
 
 

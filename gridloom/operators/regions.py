@@ -76,6 +76,14 @@ def keep_covered(pixels: DataFrame, covering: DataFrame, resolution: int) -> Dat
     return marked.where(F.coalesce(*marks).isNotNull()).drop(*marks)
 
 
+def in_polygons(lon: Column, lat: Column, polygons: Sequence[Sequence[Sequence[tuple[float, float]]]]) -> Column:
+    """Whether a point lies in any of several polygons, each a list of rings; where they overlap it lies in both."""
+    found = F.lit(False)
+    for rings in polygons:
+        found = found | in_polygon(lon, lat, rings)
+    return found
+
+
 def in_polygon(lon: Column, lat: Column, rings: Sequence[Sequence[tuple[float, float]]]) -> Column:
     """Even-odd test in the plane: whether a ray to the east crosses the rings' edges an odd number of times. Built from literals, so it stays inside generated code."""
     crossings = F.lit(0)

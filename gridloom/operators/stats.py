@@ -24,10 +24,11 @@ def check_stats(stats: str | Sequence[str]) -> list[str]:
     return out
 
 
-def weighted(value: Column, weight: Column | None, stat: str) -> Column:
+def weighted(value: Column, weight: Column | None, stat: str, centre: Column | None = None) -> Column:
     """One statistic of a value over a group. Nulls are skipped; a weight counts how much of a pixel lies in the cell.
 
-    sum and count of nothing are 0, the others null. var takes weights as frequencies.
+    sum and count of nothing are 0, the others null. var takes weights as frequencies; centre, a value near the band's, keeps its digits
+    where values are large and differ little (see with_centres).
     """
     v = value.cast("double")
     if weight is None:
@@ -46,12 +47,23 @@ def weighted(value: Column, weight: Column | None, stat: str) -> Column:
         return F.coalesce(total, F.lit(0.0))
     if stat in ("min", "max"):
         return (F.min if stat == "min" else F.max)(F.when(w.isNotNull(), v))
-    # The sample moments of Spark are shifted by a running mean; a frequency weight scales them.
+    if centre is not None:
+        v = v - centre
     moment = F.sum(w * v * v) - F.sum(w * v) * F.sum(w * v) / total
     var = F.when(total > 1, F.greatest(F.lit(0.0), moment) / (total - 1))
     return F.sqrt(var) if stat == "sd" else var
 
 
+def with_centres(pixels: DataFrame, bands: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """pixels beside the mean of each band over all of them (one broadcast row), and those columns by band.
+
+    Spark's own moments are merged without loss, but take no weights; weighted squares are summed about this mean instead.
+    """
+    names = {b: f"_centre_{i}" for i, b in enumerate(bands)}
+    means = pixels.agg(*[F.avg(F.col(b).cast("double")).alias(n) for b, n in names.items()])
+    return pixels.crossJoin(F.broadcast(means)), {b: F.col(n) for b, n in names.items()}
+
+
 def output_name(band: str, stat: str, stats: Sequence[str]) -> str:
     """A band's column keeps its name if npix is the only other statistic."""
     return band if sum(s != "npix" for s in stats) == 1 else f"{band}_{stat}"
@@ -64,7 +76,10 @@ def summarise(pixels: DataFrame, bands: Sequence[str], stats: str | Sequence[str
     some = F.coalesce(*[F.col(b).cast("double") for b in bands]).isNotNull()
     valid = pixels.where(some) if w is None else pixels.where(some & (w > 0))
     plain = [s for s in stats if s in CONTINUOUS]
-    aggregates = [weighted(F.col(b), w, s).alias(output_name(b, s, stats)) for s in plain for b in bands]
+    centres: dict[str, Column] = {}
+    if w is not None and {"var", "sd"} & set(plain):
+        valid, centres = with_centres(valid, bands)
+    aggregates = [weighted(F.col(b), w, s, centres.get(b)).alias(output_name(b, s, stats)) for s in plain for b in bands]
     if "npix" in stats:
         aggregates.append((F.count(F.lit(1)).cast("double") if w is None else F.sum(w)).alias("npix"))
     out = valid.groupBy(*keys).agg(*aggregates) if aggregates else None

@@ -6,6 +6,7 @@ built-in operators, so filters, partial aggregation, spilling and the exchange b
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -15,9 +16,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.errors import ArgumentError, SourceError
+from gridloom.errors import ArgumentError, GeometryError, SourceError
 from gridloom.functions import values
-from gridloom.functions.grid import cell_edge, cell_lat, cell_lon, check_resolution
+from gridloom.functions.grid import SPHERE_RADIUS, cell_edge, cell_lat, cell_lon, check_resolution
 from gridloom.operators import assign, composite, regions, stats
 from gridloom.sources import pixels as px
 from gridloom.sources.projection import from_keys
@@ -69,10 +70,13 @@ def pick_bands(raster: Raster, bands: None | int | str | Sequence) -> list[int]:
 
 
 def pixel_metres(raster: Raster, k: int = 0) -> float:
-    """Larger side of a pixel on the ground."""
-    t, geo = raster.level_transform(k), from_keys(raster.keys, raster.epsg).geographic
-    side = max(math.hypot(t[1], t[4]), math.hypot(t[2], t[5]))
-    return side * 111_320 if geo else side
+    """Larger side of a level's pixel on the ground, along great circles from the middle of the image."""
+    level, t = raster.levels[k], raster.level_transform(k)
+    row, col = np.array([0.0, 0.0, 1.0]) + level.height // 2, np.array([0.0, 1.0, 0.0]) + level.width // 2
+    lon, lat = (np.radians(x) for x in px.lonlat_of(from_keys(raster.keys, raster.epsg), t, row, col))
+    half = np.sin((lat[1:] - lat[0]) / 2) ** 2 + np.cos(lat[0]) * np.cos(lat[1:]) * np.sin((lon[1:] - lon[0]) / 2) ** 2
+    sides = 2 * SPHERE_RADIUS * np.arcsin(np.minimum(1, np.sqrt(half)))
+    return float(np.nanmax(sides)) if np.isfinite(sides).any() else max(math.hypot(t[1], t[4]), math.hypot(t[2], t[5]))
 
 
 def choose_level(raster: Raster, resolution: int, allowed: bool) -> int:
@@ -85,6 +89,17 @@ def choose_level(raster: Raster, resolution: int, allowed: bool) -> int:
     return best
 
 
+def common_levels(rasters: dict[str, Raster], resolution: int, allowed: bool) -> dict[str, int]:
+    """Levels of one pixel size for pooled sources: the coarsest suitable one that all have, or their full images."""
+    sizes = {name: [pixel_metres(r, k) for k in range(len(r.levels))] for name, r in rasters.items()}
+    first = next(iter(rasters))
+    for k in range(choose_level(rasters[first], resolution, allowed), 0, -1):
+        alike = {name: next((i for i, x in enumerate(found) if abs(x - sizes[first][k]) <= SIZE_TOLERANCE * sizes[first][k]), None) for name, found in sizes.items()}
+        if None not in alike.values():
+            return alike
+    return dict.fromkeys(rasters, 0)
+
+
 def tiles_in(raster: Raster, k: int, boxes: list[regions.Box] | None, align: str) -> list[tuple[int, int]]:
     """Tiles of a level that can hold pixels of the boxes; by block, those whose first pixel's centre is inside."""
     level, t = raster.levels[k], raster.level_transform(k)
@@ -115,17 +130,65 @@ def tiles_in(raster: Raster, k: int, boxes: list[regions.Box] | None, align: str
     return kept
 
 
-def rings_of(mask) -> list[list[tuple[float, float]]]:
-    """Rings of WKT (POLYGON, MULTIPOLYGON), a GeoJSON geometry, or a list of rings."""
+def polygons_of(mask) -> list[list[list[tuple[float, float]]]]:
+    """Polygons, each a list of rings, of WKT (POLYGON or MULTIPOLYGON, also Z), a GeoJSON geometry, or the rings of one polygon."""
     if isinstance(mask, str):
-        body = mask.strip().upper()
-        if not body.startswith(("POLYGON", "MULTIPOLYGON")):
-            raise ArgumentError("only polygons can be masks")
-        return [[tuple(map(float, p.split()[:2])) for p in ring.split(",")] for ring in re.findall(r"\(([^()]+)\)", mask)]
+        m = re.fullmatch(r"\s*(MULTI)?POLYGON\s*(?:Z|M|ZM)?\s*(\(.*\))\s*", mask, re.I | re.S)
+        if not m:
+            raise GeometryError("a mask is a POLYGON or MULTIPOLYGON that isn't empty")
+        # Written with brackets and commas, WKT is nested lists of points.
+        text = re.sub(r"\s*([(),])\s*", r"\1", m[2])
+        text = re.sub(r"[^(),]+", lambda p: str([float(x) for x in p[0].split()]), text)
+        mask = {"type": "MultiPolygon" if m[1] else "Polygon", "coordinates": json.loads(text.replace("(", "[").replace(")", "]"))}
     if isinstance(mask, dict):
-        found = mask["coordinates"] if mask.get("type") == "Polygon" else [r for p in mask["coordinates"] for r in p]
-        return [[(float(x), float(y)) for x, y, *_ in ring] for ring in found]
-    return [[(float(x), float(y)) for x, y in ring] for ring in mask]
+        if mask.get("type") not in ("Polygon", "MultiPolygon"):
+            raise GeometryError("only polygons can be masks")
+        found = [mask["coordinates"]] if mask["type"] == "Polygon" else mask["coordinates"]
+    else:
+        found = [mask]
+    out = [[[(float(point[0]), float(point[1])) for point in ring] for ring in rings] for rings in found]
+    if not out or any(len(ring) < 3 for rings in out for ring in rings or [[]]):
+        raise GeometryError("a mask's rings need three points at least")
+    return out
+
+
+def padded(boxes: list[regions.Box] | None, raster: Raster) -> list[regions.Box] | None:
+    """Boxes widened by the reach of the resampling kernels; all longitudes near the poles."""
+    if boxes is None:
+        return None
+    out = []
+    for xmin, ymin, xmax, ymax in boxes:
+        dy = 8 * math.degrees(pixel_metres(raster) / SPHERE_RADIUS)
+        widest = max(abs(ymin - dy), abs(ymax + dy))
+        dx = dy / math.cos(math.radians(widest)) if widest < 85 else 360.0
+        spans = [(xmin - dx, xmax + dx)]
+        spans += [(xmin - dx + 360, 180.0)] if xmin - dx < -180 else []
+        spans += [(-180.0, xmax + dx - 360)] if xmax + dx > 180 else []
+        out += [(max(-180.0, a), max(-90.0, ymin - dy), min(180.0, b), min(90.0, ymax + dy)) for a, b in spans]
+    return out
+
+
+def separate_bands(rasters: dict[str, Raster], bands: None | int | str | Sequence) -> tuple[dict[str, list[int]], list[tuple[str, int, str]]]:
+    """Bands of sources side by side: zero-based numbers per source, and (label, place among them, output name) in order.
+
+    A source of one band is named by its label, the bands of others <label>_<band>; bands picks from the list of all, by these names or by number from 1.
+    """
+    every = [(label, i, label if r.levels[0].bands == 1 else f"{label}_{r.band_names[i]}") for label, r in rasters.items() for i in range(r.levels[0].bands)]
+    if bands is not None:
+        want = [bands] if isinstance(bands, (int, str)) else list(bands)
+        by_name = {name: x for x in every for name in (x[2],)}
+        if not want or len(set(want)) != len(want) or len({type(b) for b in want}) > 1:
+            raise ArgumentError("bands are distinct names or distinct numbers")
+        for b in want:
+            if (b not in by_name) if isinstance(b, str) else (isinstance(b, bool) or not 1 <= b <= len(every)):
+                raise ArgumentError(f"there is no band {b!r} among {len(every)}")
+        every = [by_name[b] if isinstance(b, str) else every[b - 1] for b in want]
+    numbers: dict[str, list[int]] = {label: [] for label in rasters}
+    columns = []
+    for label, i, name in every:
+        columns.append((label, len(numbers[label]), name))
+        numbers[label].append(i)
+    return numbers, columns
 
 
 def read_raster(
@@ -156,13 +219,17 @@ def read_raster(
     sources = named_sources(src)
     rasters = {name: px.open_source(path, check_options(path, store_opts)) for name, path in sources.items()}
     first = next(iter(rasters.values()))
-    numbers = pick_bands(first, bands)
-    names = [first.band_names[i] for i in numbers]
-    if not separate:
+    if separate:
+        of_source, columns = separate_bands(rasters, bands)
+        rasters = {label: r for label, r in rasters.items() if of_source[label]}
+        names = [f"_{i}" for i in range(max(map(len, of_source.values())))]
+    else:
+        of_source = {label: pick_bands(first, bands) for label in rasters}
+        names = [first.band_names[i] for i in of_source[next(iter(rasters))]]
         sizes = [pixel_metres(r) for r in rasters.values()]
         if max(sizes) > min(sizes) * (1 + SIZE_TOLERANCE):
             raise SourceError("pooled sources differ in pixel size")
-        if any([r.band_names[i] for i in pick_bands(r, bands)] != names for r in rasters.values()):
+        if any(r.levels[0].bands < first.levels[0].bands for r in rasters.values()) or any([r.band_names[i] for i in pick_bands(r, bands)] != names for r in rasters.values()):
             raise SourceError("pooled sources differ in bands")
         if not scoff and len({(tuple(r.scale), tuple(r.offset)) for r in rasters.values()}) > 1:
             raise SourceError("pooled sources differ in scale or offset; read them with scoff")
@@ -172,23 +239,25 @@ def read_raster(
     boxes = regions.split_box(bbox) if bbox is not None else None
     k = subsamples or 0
     if mode == "overlay" and not k:
-        k = max(2, min(16, math.ceil(2 * pixel_metres(first) / cell_edge(resolution))))
+        k = max(2, min(16, math.ceil(2 * max(map(pixel_metres, rasters.values())) / cell_edge(resolution))))
+    levels = {name: choose_level(r, resolution, overviews) for name, r in rasters.items()} if separate else common_levels(rasters, resolution, overviews)
     plan = []
     for name, r in rasters.items():
-        at = choose_level(r, resolution, overviews)
+        at = levels[name]
         nodata = r.nodata if src_nodata is None else float(src_nodata)
-        plan.append({"path": sources[name], "label": name, "level": r.levels[at], "keys": r.keys, "epsg": r.epsg, "transform": r.level_transform(at), "bands": pick_bands(r, bands), "nodata": nodata, "mask": r.masks.get(at), "tiles": tiles_in(r, at, None if mode == "centroid" else boxes, bbox_align), "options": check_options(sources[name], store_opts)})
+        plan.append({"path": sources[name], "label": name, "level": r.levels[at], "keys": r.keys, "epsg": r.epsg, "transform": r.level_transform(at), "bands": of_source[name], "nodata": nodata, "mask": r.masks.get(at), "tiles": tiles_in(r, at, padded(boxes, r) if mode == "centroid" else boxes, bbox_align), "options": check_options(sources[name], store_opts)})
     pixels = px.scan(spark, plan, names, k if mode == "overlay" else 0)
     if scoff:
-        for b, i in zip(names, numbers):
-            by_label = F.col(b)
-            for name, r in rasters.items():
-                by_label = F.when(F.col("src") == name, values.scale_offset(F.col(b), r.scale[i], r.offset[i])).otherwise(by_label) if len(rasters) > 1 else values.scale_offset(F.col(b), r.scale[i], r.offset[i])
+        for j, b in enumerate(names):
+            scaled = [(label, values.scale_offset(F.col(b), rasters[label].scale[of_source[label][j]], rasters[label].offset[of_source[label][j]])) for label in rasters if j < len(of_source[label])]
+            by_label = scaled[0][1]
+            for label, one in scaled if len(scaled) > 1 else []:
+                by_label = F.when(F.col("src") == label, one).otherwise(by_label)
             pixels = pixels.withColumn(b, by_label)
     elif dequant is not None:
         pixels = values.decode_codes(pixels, names, dequant)
     if mask is not None:
-        pixels = pixels.where(regions.in_polygon(F.col("lon"), F.col("lat"), rings_of(mask)))
+        pixels = pixels.where(regions.in_polygons(F.col("lon"), F.col("lat"), polygons_of(mask)))
     weight = None
     if mode == "centroid":
         return _centroid(spark, pixels, plan, names, resolution, boxes, bbox, aoi, interp, as_vector, value_type, sort)
@@ -207,7 +276,7 @@ def read_raster(
     if separate:
         if len(wanted) > 1 or wanted[0] not in stats.CONTINUOUS:
             raise ArgumentError("separate takes one statistic of continuous values")
-        out = composite.separate(placed, names, wanted[0], list(rasters), weight=weight)
+        out = composite.separate_columns(placed, [(label, names[j], name) for label, j, name in columns], wanted[0], weight=weight)
     elif composite_by:
         out = None
         for b in names:

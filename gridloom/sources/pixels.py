@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 
 from gridloom.sources.projection import Projection, from_keys
 from gridloom.sources.store import Ranges
-from gridloom.sources.tiff import Level, Raster, open_raster, read_tile
+from gridloom.sources.tiff import Level, Pieces, Raster, open_raster, read_tile
 
 FORMAT = "gridloom_pixels"
 
@@ -27,7 +27,7 @@ class Tiles(InputPartition):
 def open_source(path: str, options: dict | None = None) -> Raster:
     ranges = Ranges(path, options)
     try:
-        return open_raster(path, lambda _: ranges.whole())
+        return open_raster(path, lambda _: Pieces(ranges.get))
     finally:
         ranges.close()
 
@@ -43,10 +43,11 @@ def lonlat_of(p: Projection, t: tuple[float, ...], rows: np.ndarray, cols: np.nd
 
 
 class PixelReader(DataSourceReader):
-    """plan: per source a dict of path, label, level, tags, keys, epsg, transform, bands, nodata, mask, tiles and the store's options."""
+    """Sources with fewer bands than the scan has columns get nulls in the rest. plan: per source a dict of path, label, level, tags, keys, epsg, transform, bands, nodata, mask, tiles and the store's options."""
 
     def __init__(self, schema: StructType, plan: list[dict], subsamples: int):
         self.schema, self.plan, self.subsamples = schema, plan, subsamples
+        self.n_columns = len(schema.fields) - 5 - 2 * bool(subsamples)
 
     def partitions(self) -> list[Tiles]:
         return [Tiles(i, s["tiles"][a : a + 4]) for i, s in enumerate(self.plan) for a in range(0, len(s["tiles"]), 4)]
@@ -79,6 +80,8 @@ class PixelReader(DataSourceReader):
                 columns = [pa.array([s["label"]] * len(r), pa.string()), pa.array(row.astype(np.int64)), pa.array(col.astype(np.int64)), pa.array(lon, from_pandas=True), pa.array(lat, from_pandas=True)]
                 for b in range(n_bands):
                     columns.append(pa.array(values[r, c, b], mask=~valid[r, c, b]))
+                for _ in range(self.n_columns - n_bands):
+                    columns.append(pa.nulls(len(r), pa.float64()))
                 if k:
                     i = np.arange(k * k)
                     plon, plat = lonlat_of(projection, s["transform"], (row[:, None] + (i // k + 0.5) / k).ravel(), (col[:, None] + (i % k + 0.5) / k).ravel())

@@ -103,38 +103,59 @@ class Raster:
         return a, b * sx, c * sy, d, e * sx, f * sy
 
 
+def unpack_at(form: str, data, at: int) -> tuple:
+    return struct.unpack(form, data[at : at + struct.calcsize(form)])
+
+
+class Pieces:
+    """Slices of a file, fetched by pieces of PIECE bytes that are each read once; get(offset, size) reads."""
+
+    PIECE = 1 << 18
+
+    def __init__(self, get):
+        self.get, self.held = get, {}
+
+    def __getitem__(self, part: slice) -> bytes:
+        first, last = part.start // self.PIECE, max(part.start, part.stop - 1) // self.PIECE
+        for k in range(first, last + 1):
+            if k not in self.held:
+                self.held[k] = self.get(k * self.PIECE, self.PIECE)
+        whole = b"".join(self.held[k] for k in range(first, last + 1))
+        return whole[part.start - first * self.PIECE : part.stop - first * self.PIECE]
+
+
 def parse_directory(data: bytes, at: int, order: str, big: bool) -> tuple[dict, int]:
     """Tags of the directory at `at`, and where the next one is."""
     head, entry, wide = ("Q", 20, "Q") if big else ("H", 12, "I")
-    (n,) = struct.unpack_from(order + head, data, at)
+    (n,) = unpack_at(order + head, data, at)
     at += struct.calcsize(head)
     tags = {}
     for i in range(n):
-        tag, kind, count = struct.unpack_from(f"{order}HH{wide}", data, at + i * entry)
+        tag, kind, count = unpack_at(f"{order}HH{wide}", data, at + i * entry)
         code = TYPES.get(kind)
         if code is None:
             continue
         width = 1 if code == "s" else struct.calcsize("=" + code)
         where = at + i * entry + (12 if big else 8)
         if count * width > (8 if big else 4):
-            (where,) = struct.unpack_from(order + wide, data, where)
+            (where,) = unpack_at(order + wide, data, where)
         if code == "s":
             tags[tag] = (data[where : where + count].split(b"\0")[0].decode("utf-8", "replace"),)
         else:
-            tags[tag] = struct.unpack_from(f"{order}{count * len(code)}{code[0]}", data, where)
-    (following,) = struct.unpack_from(order + wide, data, at + n * entry)
+            tags[tag] = unpack_at(f"{order}{count * len(code)}{code[0]}", data, where)
+    (following,) = unpack_at(order + wide, data, at + n * entry)
     return tags, following
 
 
 def open_raster(path: str, read) -> Raster:
-    """Header of a file; read(path) gives its bytes."""
+    """Header of a file; read(path) gives its bytes, or Pieces of them."""
     data = read(path)
-    order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
-    magic = struct.unpack_from(f"{order}H", data, 2)[0] if order else 0
+    order = {b"II": "<", b"MM": ">"}.get(bytes(data[0:2]))
+    magic = unpack_at(f"{order}H", data, 2)[0] if order else 0
     if magic not in (42, 43):
         raise SourceError(f"{path} is not a TIFF file")
     big = magic == 43
-    (at,) = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)
+    (at,) = unpack_at(order + ("Q" if big else "I"), data, 8 if big else 4)
     images = []
     while at:
         tags, at = parse_directory(data, at, order, big)

@@ -225,3 +225,88 @@ def test_streaming_sums(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.table("sums").agg(F.sum("v_sum"), F.sum("v_count")).first()
     assert tuple(got) == (sum(i + k for k in range(3) for i in range(5)), 15)
+
+
+def test_weighted_variance_keeps_its_digits(spark):
+    """Values of 10^9 that differ by 1: unshifted squares would lose every digit."""
+    from gridloom.operators import composite, stats
+
+    rows = [(c, 1e9 + v + 1e6 * c, w, f"s{v}") for c in range(3) for v, w in enumerate((1.0, 2.0, 1.0, 1.0))]
+    px = spark.createDataFrame(rows, "cell long, b double, w double, src string")
+    v, w = np.arange(4.0), np.array([1.0, 2, 1, 1])
+    spread = (w * (v - (w * v).sum() / w.sum()) ** 2).sum()
+    for r in stats.summarise(px, ["b"], ["var", "sd"], weight="w").collect():
+        assert r["b_var"] == pytest.approx(spread / (w.sum() - 1), rel=1e-3) and r["b_sd"] == pytest.approx(r["b_var"] ** 0.5)
+    for r in composite.reduce_sources(px.select("cell", F.col("b").alias("v"), "w"), "var").collect():
+        assert r["value"] == pytest.approx(spread / (w.sum() - (w * w).sum() / w.sum()))
+
+
+def test_separate_goes_by_names(spark, tmp_path):
+    a = np.arange(32 * 32, dtype=np.float32).reshape(32, 32)
+    t = (0, 0.01, 0, 10, 0, -0.01)
+    tiff.write_raster(str(tmp_path / "a.tif"), np.stack([a, a + 5000], 2), t, tile=32, names=["x", "y"], scale=[2.0, 1.0], offset=[0.0, 0.0])
+    tiff.write_raster(str(tmp_path / "b.tif"), np.stack([a + 5000, a], 2), t, tile=32, names=["y", "x"], scale=[1.0, 3.0], offset=[0.0, 7.0])
+    tiff.write_raster(str(tmp_path / "c.tif"), a + 9000, t, tile=32)
+    src = {k: str(tmp_path / f"{k}.tif") for k in "abc"}
+    got = raster.read_raster(spark, src, 8, separate=True)
+    assert got.columns == ["cell", "a_x", "a_y", "b_y", "b_x", "c"]
+    for r in got.collect():
+        assert r["a_x"] == r["b_x"] == pytest.approx(r["a_y"] - 5000) == pytest.approx(r["c"] - 9000) and r["a_y"] == r["b_y"]
+    some = raster.read_raster(spark, src, 8, separate=True, bands=["c", "b_x"], scoff=True)
+    plain = {r["cell"]: r["a_x"] for r in got.collect()}
+    assert some.columns == ["cell", "c", "b_x"] and all(r["b_x"] == pytest.approx(3 * plain[r["cell"]] + 7) for r in some.collect())
+    assert raster.read_raster(spark, src, 8, separate=True, bands=[5, 1]).columns == ["cell", "c", "a_x"]
+    with pytest.raises(ArgumentError):
+        raster.read_raster(spark, src, 8, separate=True, bands="z")
+
+
+def test_masks_are_unions(spark):
+    two = "MULTIPOLYGON Z (((0 0 1, 4 0 1, 4 4 1, 0 4 1, 0 0 1), (1 1 1, 2 1 1, 2 2 1, 1 2 1, 1 1 1)), ((3 3 1, 6 3 1, 6 6 1, 3 6 1, 3 3 1)))"
+    from gridloom.operators.regions import in_polygons
+
+    points = spark.createDataFrame([(3.5, 3.5, True), (0.5, 0.5, True), (1.5, 1.5, False), (5.0, 5.0, True), (7.0, 1.0, False)], "x double, y double, want boolean")
+    parts = raster.polygons_of(two)
+    assert len(parts) == 2 and len(parts[0]) == 2
+    assert points.where(in_polygons(F.col("x"), F.col("y"), parts) != F.col("want")).count() == 0
+    assert raster.polygons_of({"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1]]]}) == [[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]]]
+    for bad in ("POLYGON EMPTY", "LINESTRING (0 0, 1 1)", "POLYGON ((0 0, 1 1))", {"type": "Point", "coordinates": [0, 0]}):
+        with pytest.raises((GeometryError, ArgumentError)):
+            raster.polygons_of(bad)
+
+
+def test_pooled_sources_share_a_level(spark, tmp_path):
+    a = np.random.default_rng(1).random((128, 128)).astype(np.float32)
+    t = (0, 0.001, 0, 10, 0, -0.001)
+    for name, overviews in (("a", [2, 4]), ("b", [2]), ("c", [])):
+        tiff.write_raster(str(tmp_path / f"{name}.tif"), a, t, tile=32, overviews=overviews)
+    opened = {n: raster.px.open_source(str(tmp_path / f"{n}.tif")) for n in "abc"}
+    assert raster.choose_level(opened["a"], 9, True) == 2
+    assert raster.common_levels({n: opened[n] for n in "ab"}, 9, True) == {"a": 1, "b": 1}
+    assert raster.common_levels(opened, 9, True) == {"a": 0, "b": 0, "c": 0}
+
+
+def test_pixel_size_is_measured_on_the_ground(tmp_path):
+    for lat in (0, 60):
+        path = str(tmp_path / f"{lat}.tif")
+        tiff.write_raster(path, np.zeros((4, 8), np.uint8), (0, 0.02, 0, lat + 0.02, 0, -0.01), tile=16)
+        assert raster.pixel_metres(raster.px.open_source(path)) == pytest.approx(max(0.02 * np.cos(np.radians(lat)), 0.01) * 111_195, rel=1e-3)
+
+
+def test_headers_are_read_in_pieces(tmp_path):
+    path = str(tmp_path / "wide.tif")
+    tiff.write_raster(path, np.random.default_rng(2).random((1024, 1024, 2)), (0, 1e-3, 0, 10, 0, -1e-3), tile=256, compression=tiff.NONE)
+    data, asked = open(path, "rb").read(), []
+
+    def get(at, size):
+        asked.append(size)
+        return data[at : at + size]
+
+    assert tiff.open_raster(path, lambda _: tiff.Pieces(get)).levels[0].tags == tiff.open_raster(path, lambda _: data).levels[0].tags
+    assert sum(asked) < len(data) / 8
+
+
+def test_centroids_read_only_tiles_near_the_box(codes):
+    x = raster.px.open_source(codes[0])
+    box = [(12.001, 48.05, 12.002, 48.052)]
+    assert 0 < len(raster.tiles_in(x, 0, raster.padded(box, x), "pixel")) <= len(raster.tiles_in(x, 0, None, "pixel"))
+    assert raster.padded([(-180.0, 10.0, -179.99, 11.0)], x)[1][2] == 180.0
