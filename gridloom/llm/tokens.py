@@ -1,13 +1,12 @@
-"""Token ids and counts of whole texts, by cut pieces and a bounded memory of pieces seen before."""
+"""Token ids of whole texts by cut pieces and a merge table, and their counts by cut pieces and a bounded memory of pieces counted before."""
 
 from __future__ import annotations
 
-import array
 import functools
-import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gridloom.llm.transducer import Cutter, byte_alphabet, byte_bpe, char_classes, cut
+from gridloom.llm.transducer import Cutter, byte_alphabet, byte_bpe, char_classes, cut, marked
+
+if TYPE_CHECKING:
+    import tiktoken
+    from tokenizers import Tokenizer
 
 #: Pieces remembered per worker; the memory is emptied when full, so it stays bounded on any corpus.
 REMEMBERED = 600_000
@@ -23,10 +26,6 @@ REMEMBERED = 600_000
 CHARS_AT_ONCE = 500_000
 
 
-#: Characters that str.split() takes for blanks and the split pattern doesn't.
-NO_BLANK = re.compile("[\x1c-\x1f]")
-
-
 def public_path(name: str) -> str:
     import public_tokenizers
 
@@ -58,11 +57,38 @@ def parts_of(batch: pa.RecordBatch, text: str, most: int = CHARS_AT_ONCE) -> Ite
         at = end
 
 
+#: Stands between pieces handed to the merge table, and for the mark that ends a word; texts that hold it themselves take the library's model.
+NUL = "\0"
+
+
+def ends_whole(spec: dict, library: Tokenizer) -> bool:
+    """Whether every token that merges make is its own encoding, and merges are listed in the order of the ids that they make.
+
+    Then merging whatever neighbours form the token of least id gives the library's ids: when a token's turn has come and two neighbours form it, no
+    earlier merge crossed its ends, so they are what its own encoding had then, that is, the two sides of its merge.
+    """
+    from tokenizers import models
+
+    model = spec["model"]
+    suffix = model["end_of_word_suffix"] or ""
+    vocab, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [vocab[x + y] for x, y in merges]
+    if any(a >= b for a, b in zip(made, made[1:])):
+        return False
+    inner = models.BPE(vocab, merges) if suffix else library.model
+    for x, y in merges:
+        ended = suffix and y.endswith(suffix)
+        found = (library.model if ended else inner).tokenize((x + y).removesuffix(suffix) if ended else x + y)
+        if [t.id for t in found] != [vocab[x + y]]:
+            return False
+    return True
+
+
 class Encoder:
     """Ids of texts as the tokenizers library gives them, without added begin or end tokens.
 
-    The split pattern runs as a transducer over the whole batch; the library's model is asked only for
-    pieces not seen before.
+    The split pattern runs as a transducer over the whole batch. tiktoken's merge loop, given the file's own table, makes the ids of the pieces; where
+    ends_whole() doesn't hold for a table, or a text has NUL characters, the library's model is asked piece by piece.
     """
 
     def __init__(self, path: str):
@@ -83,14 +109,26 @@ class Encoder:
         self.cutter = Cutter(joins_space=not self.normal, single_numbers=self.normal)
         self.size = self.library.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 65536 else "<u4")
-        self.code = "H" if self.size <= 65536 else "I"
         self.stand_in = {b: c for c, b in byte_alphabet().items()}
-        self.known: dict[str, bytes] = {}
+        self.merger = self.merge_table(spec) if ends_whole(spec, self.library) else None
+
+    def merge_table(self, spec: dict) -> tiktoken.Encoding:
+        import tiktoken
+
+        alphabet, suffix = byte_alphabet(), spec["model"]["end_of_word_suffix"] or ""
+        ranks = {}
+        for token, i in spec["model"]["vocab"].items():
+            if token not in self.special:
+                ended = suffix and token.endswith(suffix)
+                ranks[bytes(alphabet[c] for c in (token.removesuffix(suffix) if ended else token)) + NUL.encode() * bool(ended)] = i
+        pattern = "[^\\x00 ]+\\x00" if suffix else "[^\\x00]+"
+        # Without a special string the library's search for them would stop at every character; this one can't occur between pieces.
+        return tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={NUL * 2: self.size})
 
     def piece(self, text: str) -> bytes:
-        # ASCII letters and digits stand for themselves.
-        mapped = text if text.isascii() and text.isalnum() else text.encode().decode("latin-1").translate(self.stand_in)
-        return array.array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        """Ids of one piece by the library's model."""
+        mapped = text.encode().decode("latin-1").translate(self.stand_in)
+        return np.array([t.id for t in self.model.tokenize(mapped)], self.dtype).tobytes()
 
     def parts(self, texts: list[str]) -> tuple[list[str], list[list[int | bytes]]]:
         """Texts split at special strings, which stand for their own ids wherever they occur: plain parts, and per text where they are."""
@@ -119,34 +157,22 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text, its ids as bytes of self.dtype."""
         out: list[bytes] = []
-        known = self.known
         for run in slices(texts):
             plain, layout = self.parts(run)
-            if len(known) > REMEMBERED:
-                known.clear()
-            if self.normal and not any(map(NO_BLANK.search, plain)):
-                # White space ends every piece and is dropped, so ids of a word between blanks depend on nothing else.
-                words = [t.split() for t in plain]
-                fresh = list(set(itertools.chain.from_iterable(words)).difference(known))
-                known |= zip(fresh, self.cut_ids(fresh))
-                whole = [b"".join(map(known.__getitem__, w)) for w in words]
-            else:
-                whole = self.cut_ids(plain)
+            whole = self.plain_ids(plain)
             out += [b"".join(whole[x] if isinstance(x, int) else x for x in row) for row in layout]
         return out
 
-    def cut_ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts without special strings, by their pieces."""
-        known = self.known
-        out: list[bytes] = []
-        for run in slices(texts):
-            pieces, first = cut(self.cutter, self.classes, run, blanks=not self.normal)
-            for p in set(pieces).difference(known):
-                known[p] = self.piece(p)
-            got = list(map(known.__getitem__, pieces))
+    def plain_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of normalised texts without special strings."""
+        if not texts:
+            return []
+        if self.merger is None or any(NUL in t for t in texts):
+            pieces, first = cut(self.cutter, self.classes, texts, blanks=not self.normal)
             at = first.tolist()
-            out += [b"".join(got[a:b]) for a, b in zip(at, at[1:])]
-        return out
+            return [b"".join(map(self.piece, pieces[a:b])) for a, b in zip(at, at[1:])]
+        ids = self.merger.encode_to_numpy
+        return [ids(t, disallowed_special=()).astype(self.dtype).tobytes() for t in marked(self.cutter, self.classes, texts, NUL, blanks=not self.normal)]
 
 
 class Counter:

@@ -153,24 +153,41 @@ class Cutter:
         return begins
 
 
-def cut(cutter: Cutter, classes: np.ndarray, texts: list[str], blanks: bool = True) -> tuple[list[str], np.ndarray]:
-    """Pieces of all texts in order, and where each text's pieces begin (one more entry than texts). blanks=False leaves pieces of white space out."""
-    joined = "".join(texts)
+def pieces_of(cutter: Cutter, classes: np.ndarray, texts: list[str], blanks: bool) -> tuple[np.ndarray, ...]:
+    """Code points of all texts, their classes, where pieces begin and stop, and where each text ends. blanks=False leaves pieces of white space out."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-    of_char = classes[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+    of_char = classes[points]
     is_end = np.zeros(len(of_char) + len(texts), bool)
     is_end[ends + np.arange(len(texts))] = True
     symbols = np.full(len(is_end), END, np.uint8)
     symbols[~is_end] = of_char
     begins = np.flatnonzero(cutter.marks(symbols)[~is_end])
-    stops = np.append(begins[1:], len(joined))
+    stops = np.append(begins[1:], len(points))[: len(begins)]
     if not blanks:
         filled = (of_char[begins] != SPACE) & (of_char[begins] != WHITE)
         begins, stops = begins[filled], stops[filled]
+    return points, of_char, begins, stops, ends
+
+
+def cut(cutter: Cutter, classes: np.ndarray, texts: list[str], blanks: bool = True) -> tuple[list[str], np.ndarray]:
+    """Pieces of all texts in order, and where each text's pieces begin (one more entry than texts). blanks=False leaves pieces of white space out."""
+    _, _, begins, stops, ends = pieces_of(cutter, classes, texts, blanks)
+    joined = "".join(texts)
     first = np.searchsorted(begins, np.concatenate([[0], ends]))
     return [joined[a:b] for a, b in zip(begins.tolist(), stops.tolist())], first
 
 
+def marked(cutter: Cutter, classes: np.ndarray, texts: list[str], mark: str, blanks: bool = True) -> list[str]:
+    """Each text with the character `mark` after every piece; with blanks=False not after white space, which becomes plain spaces."""
+    points, of_char, _, stops, ends = pieces_of(cutter, classes, texts, blanks)
+    if not blanks:
+        points = np.where(of_char == WHITE, np.uint32(ord(" ")), points)
+    joined = np.insert(points, stops, ord(mark)).tobytes().decode("utf-32-le")
+    to = (ends + np.searchsorted(stops, ends, "right")).tolist()
+    return [joined[a:b] for a, b in zip([0, *to], to)]
+
+
 class PieceCounter:
     """Counting machine: bytes of a piece in, number of tokens out."""
 

@@ -103,6 +103,20 @@ def test_encoders_equal_the_library(texts):
     assert tokens.counter(BYTE).count(texts).tolist() == [len(e.ids) for e in library_of(BYTE).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_merge_table_equals_the_model():
+    """The merge table and the library's model piece by piece give the same ids; NUL in a text takes the model."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("etaoin shrdlu'é1\n"), 400)) for _ in range(50)] + ["x" * 5000, " " * 3000 + "y", "a\0b", "\0", "\0\0 c"]
+    for path in (BYTE, WORD):
+        with_table = tokens.encoder(path)
+        assert with_table.merger is not None
+        by_model = tokens.Encoder(path)
+        by_model.merger = None
+        assert with_table.encode(texts) == by_model.encode(texts)
+        want = [e.ids for e in library_of(path).encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(b, with_table.dtype).tolist() for b in with_table.encode(texts)] == want
+
+
 _libraries = {}
 
 
