@@ -20,6 +20,7 @@ from gridloom.errors import ArgumentError, GeometryError, SourceError
 from gridloom.functions import values
 from gridloom.functions.grid import SPHERE_RADIUS, cell_edge, cell_lat, cell_lon, check_resolution
 from gridloom.operators import assign, composite, regions, stats
+from gridloom.operators.coverings import check_containment, cover
 from gridloom.sources import pixels as px
 from gridloom.sources.projection import from_keys
 from gridloom.sources.sink import provenance, write_parquet
@@ -152,6 +153,19 @@ def polygons_of(mask) -> list[list[list[tuple[float, float]]]]:
     return out
 
 
+def covering_of(spark: SparkSession, aoi, resolution: int, containment: str) -> DataFrame:
+    """The covering that an area of interest stands for: itself, or that of a box or polygons."""
+    if not isinstance(aoi, DataFrame):
+        if not isinstance(aoi, (str, dict)) and len(aoi) == 4 and all(isinstance(x, (int, float)) for x in aoi):
+            polygons = [[[(a, b), (c, b), (c, d), (a, d)]] for a, b, c, d in regions.split_box(aoi)]
+        else:
+            polygons = polygons_of(aoi)
+        aoi = cover(spark, polygons, resolution, containment)
+    if aoi.isEmpty():
+        raise GeometryError("the area of interest holds no cell")
+    return aoi
+
+
 def padded(boxes: list[regions.Box] | None, raster: Raster) -> list[regions.Box] | None:
     """Boxes widened by the reach of the resampling kernels; all longitudes near the poles."""
     if boxes is None:
@@ -192,15 +206,18 @@ def separate_bands(rasters: dict[str, Raster], bands: None | int | str | Sequenc
 
 
 def read_raster(
-    spark: SparkSession, src, resolution: int, stat="mean", bands=None, bbox=None, bbox_align: str = "pixel", aoi: DataFrame | None = None, mask=None, src_nodata: float | None = None, mode: str = "forward",
+    spark: SparkSession, src, resolution: int, stat="mean", bands=None, bbox=None, bbox_align: str = "pixel", aoi=None, mask=None, src_nodata: float | None = None, mode: str = "forward",
     subsamples: int | None = None, interp: str = "nearest", scoff: bool = False, dequant: Callable | None = None, as_vector: bool = False, use_overviews: bool | None = None, store_opts: dict | None = None,
-    separate: bool = False, composite_by: str | None = None, value_type: str = "double", sort: bool = True,
+    separate: bool = False, composite_by: str | None = None, value_type: str = "double", sort: bool = True, containment: str = "centre",
 ) -> DataFrame:
     """Cells of `resolution` with statistics of the pixels of one or more rasters.
 
-    aoi is a covering, a DataFrame of (res, cell); mask is polygons in longitude and latitude. Missing values are null.
+    aoi is a covering, a DataFrame of (res, cell), or a box or polygons, of which containment takes the cells whose centre is inside or that overlap; it
+    keeps whole cells, and one without cells is an error. mask is polygons in longitude and latitude. Missing values are null.
     """
     check_resolution(resolution)
+    if check_containment(containment) != "centre" and (aoi is None or isinstance(aoi, DataFrame)):
+        raise ArgumentError("containment other than centre needs an aoi of polygons or a box")
     wanted = stats.check_stats(stat)
     if mode not in ("forward", "overlay", "centroid"):
         raise ArgumentError("mode must be forward, overlay or centroid")
@@ -237,6 +254,8 @@ def read_raster(
         raise ArgumentError("dequant, majority and fractions need integer codes of at most 16 bits")
     overviews = (dequant is None if use_overviews is None else use_overviews) and wanted == ["mean"] and mode != "centroid"
     boxes = regions.split_box(bbox) if bbox is not None else None
+    if aoi is not None:
+        aoi = covering_of(spark, aoi, resolution, containment)
     k = subsamples or 0
     if mode == "overlay" and not k:
         k = max(2, min(16, math.ceil(2 * max(map(pixel_metres, rasters.values())) / cell_edge(resolution))))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import grid, values
 from gridloom.operators import aggregate as agg
-from gridloom.operators import assign, composite, regions, stats
+from gridloom.operators import assign, composite, coverings, regions, stats
 
 RES = 4
 
@@ -206,6 +206,37 @@ def crossing_sql() -> str:
     return " + ".join(out)
 
 
+CENTRE_LON = f"((cell & {grid.ROW_UNIT - 1}) + 0.5) / {1 << RES} * 360 - 180"
+CENTRE_LAT = f"degrees(asin((((cell >> 29) & {grid.ROW_UNIT - 1}) + 0.5) / {1 << RES} * 2 - 1))"
+
+
+@query(
+    "aoi_polygon",
+    f"{WITH}, k AS (SELECT cell, b2, {CENTRE_LON} AS lon, {CENTRE_LAT} AS lat FROM c) SELECT cell, round(avg(b2), 4) AS b2 FROM k WHERE ({crossing_sql()}) % 2 = 1 GROUP BY cell",
+)
+def aoi_polygon(spark, d):
+    covering = coverings.cover(spark, [[TRIANGLE, HOLE]], RES)
+    return rounded(regions.keep_covered(cells(spark, d), covering, RES).groupBy("cell").agg(F.avg("b2").alias("b2")), "b2")
+
+
+def nested(level: int) -> str:
+    """The cells of c at a coarser level."""
+    return f"{level} * {1 << 58} + (((cell >> 29) & {grid.ROW_UNIT - 1}) >> {RES - level}) * {grid.ROW_UNIT} + ((cell & {grid.ROW_UNIT - 1}) >> {RES - level})"
+
+
+@query(
+    "covering_intersection",
+    f"{WITH}, a AS (SELECT DISTINCT cell FROM c WHERE src = 1 AND b2 > 48), b AS (SELECT DISTINCT {nested(2)} AS up FROM c WHERE lat > 60) SELECT cell FROM a WHERE {nested(2)} IN (SELECT up FROM b)",
+)
+def covering_intersection(spark, d):
+    c = cells(spark, d)
+    a = c.where("src = 1 AND b2 > 48").select("cell").distinct()
+    b = c.where("lat > 60").select(grid.cell_parent(F.col("cell"), 2).alias("cell")).distinct()
+    found = coverings.intersection(a, b)
+    # A compact covering is written out again at the pixels' resolution.
+    return found.select(F.explode(F.expr(f"sequence(0, cast(pow(4, {RES} - res) AS bigint) - 1)")).alias("i"), "res", "cell").select(coverings.descendant(F.col("cell"), F.col("i"), RES).alias("cell"))
+
+
 @query("polygon_mask", f"{WITH} SELECT cell, round(avg(b2), 4) AS b2, CAST(count(*) AS DOUBLE) AS npix FROM c WHERE ({crossing_sql()}) % 2 = 1 GROUP BY cell")
 def polygon_mask(spark, d):
     px = cells(spark, d).where(regions.in_polygon(F.col("lon"), F.col("lat"), [TRIANGLE, HOLE]))
