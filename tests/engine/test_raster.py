@@ -123,6 +123,28 @@ def test_mask_and_covering(spark, codes):
     assert kept.npix.sum() == ((cells == some) & (a[:, :, 0] != -128)).sum()
 
 
+def test_area_of_interest(spark, codes):
+    """Areas keep whole cells, by their centre or where they overlap; an area without cells, or containment without an area, is an error."""
+    path, a, lon, lat = codes
+    ring = [(12.01, 48.01), (12.09, 48.02), (12.05, 48.09), (12.01, 48.01)]
+    text = f"POLYGON(({', '.join(f'{x} {y}' for x, y in ring)}))"
+    cells, n = cell_of(lon, lat, R + 3), 2.0 ** (R + 3)
+    real = a[:, :, 0] != -128
+    x, y = (cells & (1 << 29) - 1) + 0.5, (cells >> 29 & (1 << 29) - 1) + 0.5
+    centre_lon, centre_lat = x / n * 360 - 180, np.degrees(np.arcsin(y / n * 2 - 1))
+    inside = np.zeros(lon.shape, bool)
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+        inside ^= ((y1 > centre_lat) != (y2 > centre_lat)) & (centre_lon < (centre_lat - y1) * (x2 - x1) / (y2 - y1) + x1)
+    got = raster.read_raster(spark, path, R + 3, "npix", aoi=text).toPandas()
+    assert set(got.cell) == set(cells[inside & real].tolist()) and got.npix.sum() == (inside & real).sum()
+    more = raster.read_raster(spark, path, R + 3, "npix", aoi=text, containment="overlapping").toPandas()
+    assert set(got.cell) < set(more.cell)
+    with pytest.raises(GeometryError):
+        raster.read_raster(spark, path, 3, "npix", aoi="POLYGON((0.1 0.1, 0.2 0.1, 0.2 0.2, 0.1 0.1))")
+    with pytest.raises(ArgumentError):
+        raster.read_raster(spark, path, R, "npix", containment="overlapping")
+
+
 def test_centroid_kernels_on_a_plane(spark, tmp_path):
     r, c = np.mgrid[0:64, 0:64]
     path = str(tmp_path / "plane.tif")
