@@ -1,14 +1,14 @@
 """Supervised subword embeddings for document quality.
 
 A document is the mean of learned vectors of its words, word bigrams, byte 3- and 4-grams of its words (word edges count as a
-sign) and equality patterns of three words in a row (which of a word's two forerunners it equals), all hashed into one table; a softmax layer on the mean gives the class. Vectors and layer are trained by stochastic gradient descent
-in numpy, on the driver, over at most SAMPLE labelled rows of each class and FEATURES different features of each (by hash), bounds that do not grow
-with the corpus, for EPOCHS passes and STEPS steps at least.
+sign) and equality patterns of three words in a row (which of a word's two forerunners it equals), all hashed into one table; a softmax layer on the mean gives the class. Every labelled row that is not held out
+is learnt from, with all its features: rows are dealt by hash to parts of about 2 * SAMPLE rows and at most about PART_BYTES, their number growing with the labels, and the executors train a model of each part by stochastic
+gradient descent in numpy, for EPOCHS passes and STEPS steps at least. A class that would be rare in a part is dealt to several.
 Since the mean and the layer are both linear, scoring needs a single number per table row, the difference of its
-two class logits: executors hash the whole text and average those numbers.
+two class logits: the parts' models are averaged into one such table, which is the mean of their logits, and executors hash the whole text and average those numbers.
 
 Defined cases: a null or empty text has no features and scores by the bias alone; rows without a label, labels without a row and
-repeated labels (the smaller quality counts) are allowed; without labels of both classes training raises NoClasses; extra columns pass through, and ones named
+repeated labels (the smaller quality counts) are allowed; a labelled row that is repeated with the same text is learnt from once, with other texts once for each; without labels of both classes training raises NoClasses; extra columns pass through, and ones named
 like added columns are refused; an empty table gives an empty result.
 """
 
@@ -23,14 +23,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm._common import text_or_empty
+from gridloom.llm._common import batch_bytes, text_or_empty
 from gridloom.llm.tokens import parts_of, texts_of
 
-#: Labelled rows per class that training reads at most, chosen by hash of doc_id.
+#: Half the labelled rows of a part that one model is trained on; all rows are in some part.
 SAMPLE = 1500
-#: Different features of a training row that are learnt from at most; scoring uses all.
-FEATURES = 4096
+#: Bytes of features of a part, about; one row has 8 * BUCKETS at most.
+PART_BYTES = 128 << 20
+#: Rows of each class, if there are as many, that parts hold at least half of on average.
+LEAST = 32
 BUCKETS = 1 << 18
+#: Table rows in a line of what a part's training returns.
+BLOCK = 1 << 12
 DIMS, EPOCHS, STEPS, RATE, BATCH, SEED = 8, 12, 2000, 2.0, 16, 7
 WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
@@ -107,29 +111,50 @@ class Model:
         return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + self.bias)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Hashed features of at most `sample` labelled rows of each class that are not held out."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = known.where(~held_out(F.col("doc_id")))
-    chosen = None
-    for k in (0, 1):
-        part = known.where(F.col("quality") == k).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(sample)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    # At most 2 * sample rows, so safe to broadcast.
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+def labelled(docs: DataFrame, labels: DataFrame, *columns: Column) -> DataFrame:
+    """Different doc_id, quality and columns of the labelled rows that are not held out."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality IN (0, 1)")
+    return docs.where(~held_out(F.col("doc_id"))).select("doc_id", *columns).join(known, "doc_id").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for t in texts_of(batch.column("text")):
-                found = [rows for rows, _ in features([t])]
-                rows, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint32), return_counts=True)
-                rows, n = rows[:FEATURES], n[:FEATURES]  # rows are hashes, so this is a choice by hash
-                out.append((rows.astype("<u4").tobytes(), n.astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["doc_id", "quality", "rows", "counts"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
-    return texts.mapInArrow(run, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, rows binary, counts binary")
+def plan_parts(rows: list[int], sizes: list[int], sample: int) -> tuple[int, list[int]]:
+    """How many parts so many rows of each class with about so many bytes of features are dealt to, and how many of them a row of each class is in."""
+    number = max(1, -(-sum(rows) // (2 * sample)), -(-sum(sizes) // PART_BYTES))
+    copies = []
+    for n, size in zip(rows, sizes):
+        least = max(LEAST, min(sample // 4, PART_BYTES * n // (4 * max(1, size))))
+        copies.append(min(number, max(1, number * least // max(1, n))))
+    return number, copies
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Every labelled row that is not held out (key, quality, text), with the part it is dealt to, one partition for each part."""
+    text = text_or_empty()
+    size = F.least(F.octet_length(text), F.lit(BUCKETS)).cast("long") * 8
+    got = labelled(docs, labels, F.xxhash64(text).alias("hash"), size.alias("size")).groupBy("quality").agg(F.count("*"), F.sum("size")).collect()
+    counts = {r[0]: (r[1], r[2]) for r in got}
+    if len(counts) < 2:
+        raise NoClasses("labels of both classes are needed")
+    number, copies = plan_parts([counts[k][0] for k in (0, 1)], [counts[k][1] for k in (0, 1)], sample)
+    copy = F.explode(F.sequence(F.lit(0), F.when(F.col("quality") == 0, copies[0]).otherwise(copies[1]) - 1))
+    dealt = labelled(docs, labels, text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text")).withColumn("copy", copy)
+    part = F.pmod(F.pmod(F.xxhash64("key"), F.lit(number)) + F.col("copy"), F.lit(number)).cast("int")
+    return dealt.select("key", "quality", "text", part.alias("part")).repartitionById(number, "part")
+
+
+def learn(batches: Iterator[pa.RecordBatch], prior: float) -> Iterator[tuple[int, Model]]:
+    """The model of each part in a partition."""
+    held: dict[int, list[tuple[int, int, np.ndarray, np.ndarray]]] = {}
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("part", "key", "quality"))
+        for part, key, quality, t in zip(*columns, texts_of(batch.column("text"))):
+            found = [rows for rows, _ in features([t])]
+            rows, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint32), return_counts=True)
+            held.setdefault(part, []).append((key, quality, rows, n.astype(np.uint32)))
+    while held:
+        part, documents = held.popitem()
+        documents.sort(key=lambda d: d[:2])
+        yield part, fit([d[2] for d in documents], [d[3] for d in documents], np.array([d[1] for d in documents], np.int64), prior)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -142,9 +167,8 @@ def fit(rows: list[np.ndarray], counts: list[np.ndarray], classes: np.ndarray, p
     vectors = rng.uniform(-1 / DIMS, 1 / DIMS, (BUCKETS, DIMS)).astype(np.float32)
     layer, bias = np.zeros((DIMS, 2), np.float32), np.zeros(2, np.float32)
 
-    def document(i: int) -> tuple[np.ndarray, np.ndarray]:
-        return rows[i], (counts[i] / max(1, counts[i].sum())).astype(np.float32)[:, None]
-
+    shares = [(c / max(1, c.sum())).astype(np.float32) for c in counts]
+    step, met = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, bool)
     balance = np.array([1 / max(1, (classes == k).sum()) for k in (0, 1)], np.float32)[classes]
     balance /= balance.mean()
     epochs = max(EPOCHS, -(-STEPS // -(-len(classes) // BATCH)))
@@ -155,18 +179,25 @@ def fit(rows: list[np.ndarray], counts: list[np.ndarray], classes: np.ndarray, p
             some = order[a : a + BATCH]
             rate = RATE * (1 - done / steps)
             done += len(some)
-            documents = [document(i) for i in some]
-            mean = np.stack([(vectors[r] * share).sum(0) for r, share in documents])
+            mean = np.stack([shares[i] @ vectors.take(rows[i], 0) for i in some])
             logits = mean @ layer + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(some)), classes[some]] -= 1
             p *= balance[some, None] / len(some)
-            back = p @ layer.T
+            # With two classes all gradients of a batch's vectors are along one direction, so they add up to a number per table row.
+            along = rate * len(some) * (layer[:, 1] - layer[:, 0])
             layer -= rate * mean.T @ p
             bias -= rate * p.sum(0)
-            for (r, share), g in zip(documents, back):
-                vectors[r] -= rate * len(some) * share * g
+            for i, slope in zip(some, p[:, 1]):
+                step[rows[i]] += shares[i] * slope
+                met[rows[i]] = True
+            at = np.flatnonzero(met)
+            moved, by = vectors.take(at, 0), step[at]
+            for k in range(DIMS):
+                moved[:, k] -= by * along[k]
+            vectors[at] = moved
+            step[at], met[at] = 0, False
     weights = vectors @ (layer[:, 1] - layer[:, 0])
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     return Model(weights.astype(np.float32), float(bias[1] - bias[0]) + float(np.log(prior / (1 - prior))))
@@ -176,26 +207,30 @@ class NoClasses(ValueError):
     """The labelled rows don't show both classes."""
 
 
-def views(column: pa.ChunkedArray) -> list[np.ndarray]:
-    """The 32-bit numbers of each value of a binary column, without copies."""
-    out = []
-    for chunk in column.chunks:
-        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
-        data = np.frombuffer(chunk.buffers()[2] or b"", np.uint8)
-        out += [data[a:b].view("<u4") for a, b in zip(ends.tolist(), ends[1:].tolist())]
-    return out
-
-
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    got = training_rows(docs, labels, sample).toArrow()
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    classes = got["quality"].to_numpy().astype(np.int64)[order]
-    if len(set(classes.tolist())) < 2:
-        raise NoClasses("labels of both classes are needed")
-    learn = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull())
-    prior = learn.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    rows, counts = ([found[i] for i in order] for found in (views(got["rows"]), views(got["counts"])))
-    return fit(rows, counts, classes, prior)
+    """The mean of the models of all parts; a part has about 2 * sample rows."""
+    with batch_bytes(docs.sparkSession):
+        texts = training_rows(docs, labels, sample)
+        share = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull())
+        prior = share.agg(F.avg(F.col("quality").cast("double"))).first()[0]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, model in learn(batches, prior):
+                blocks = model.weights.astype("<f4").reshape(-1, BLOCK)
+                columns = [pa.array([part] * len(blocks), pa.int32()), pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary()), pa.array([model.bias] * len(blocks))]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "block", "weights", "bias"])
+
+        def mean(table: pa.Table) -> pa.Table:
+            table = table.sort_by("part")
+            total = np.zeros(BLOCK)
+            for w in table["weights"]:
+                total += np.frombuffer(w.as_buffer(), "<f4")
+            weights = pa.array([(total / len(table)).astype("<f4").tobytes()], pa.binary())
+            return pa.table({"block": table["block"][:1], "weights": weights, "bias": [sum(table["bias"].to_pylist()) / len(table)]})
+
+        models = texts.mapInArrow(run, "part int, block int, weights binary, bias double")
+        got = models.groupBy("block").applyInArrow(mean, "block int, weights binary, bias double").orderBy("block").collect()
+    return Model(np.concatenate([np.frombuffer(r["weights"], "<f4") for r in got]), got[0]["bias"])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:

@@ -611,3 +611,32 @@ def test_names_and_depth_of_pages():
     began = time.time()
     text = html.main_text("<article>" + "<div>one two three four five six.</b2>" * 100_000)
     assert text.count("one two") == 100_000 and time.time() - began < 20
+
+
+def test_quality_learns_from_every_row(spark):
+    """More labelled rows than a part holds: each is in a part, rows of a rare class in several, and the parts' models are averaged."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(900)] + [(7, "other text"), (7, "text 7"), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 30 != 0)) for i in range(800)] + [(7, 1), (None, 0), (9999, 0)], "doc_id long, quality int")
+    want = {(f"text {i}", int(i % 30 != 0)) for i in range(800) if zlib.crc32(str(i).encode()) % 3 != 1} | {("other text", 1)}
+    rows = quality.training_rows(docs, labels, sample=40).collect()
+    assert len(rows) >= len(want)
+    assert {(r["text"], r["quality"]) for r in rows} == want and len({(r["text"], r["part"]) for r in rows}) == len(rows)
+    parts = [[r["quality"] for r in rows if r["part"] == p] for p in sorted({r["part"] for r in rows})]
+    assert len(parts) == -(-len(want) // 80) and all(set(p) == {0, 1} for p in parts)
+    model = quality.train(docs, labels, sample=40)
+    assert np.array_equal(model.weights, quality.train(docs, labels, sample=40).weights) and model.weights.shape == (quality.BUCKETS,)
+
+
+def test_quality_learns_from_all_features_of_a_long_text(spark):
+    """What tells the classes apart has the highest table rows of texts with thousands of features."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    base = [word() for _ in range(900)]
+    rows_of = lambda t: np.unique(np.concatenate([rows for rows, _ in quality.features([t])]))
+    cut = rows_of(" ".join(base))[4096 - 1]
+    # Three words in a row have one pattern here, so that words alone differ.
+    marks = [w for w in (word() for _ in range(20_000)) if min(rows[0] for rows, _ in quality.features([w]) if len(rows)) > cut and rows_of(f"{w} {w}").min() > cut][:2]
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(base, len(base)) + [marks[i % 2]] * 200)) for i in range(120)], "doc_id long, text string")
+    got = quality.score(docs, quality.train(docs, docs.selectExpr("doc_id", "int(doc_id % 2) AS quality"))).collect()
+    held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert len(held) > 20 and all(r["predicted"] == r["doc_id"] % 2 for r in held)
