@@ -30,15 +30,22 @@ def wrap_lon(lon: Column) -> Column:
     return F.when((lon >= -180) & (lon < 180), lon).otherwise(F.pmod(lon + 180.0, F.lit(360.0)) - 180.0)
 
 
+def column_of(lon: Column, r: int) -> Column:
+    """Number of the column of resolution r that holds a longitude in degrees."""
+    n = 1 << check_resolution(r)
+    return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((lon + 180.0) / 360.0 * float(n)))).cast("long")
+
+
+def row_of(lat: Column, r: int) -> Column:
+    """Number of the row of resolution r that holds a latitude in degrees."""
+    n = 1 << check_resolution(r)
+    return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.sin(F.radians(lat)) + 1.0) / 2.0 * float(n)))).cast("long")
+
+
 def lonlat_to_cell(lon: Column, lat: Column, r: int) -> Column:
     """Id of the cell of resolution r that holds the point in degrees; null for null or impossible coordinates."""
-    n = 1 << check_resolution(r)
-    x = F.floor((lon + 180.0) / 360.0 * float(n))
-    y = F.floor((F.sin(F.radians(lat)) + 1.0) / 2.0 * float(n))
-    x = F.greatest(F.lit(0), F.least(F.lit(n - 1), x)).cast("long")
-    y = F.greatest(F.lit(0), F.least(F.lit(n - 1), y)).cast("long")
     real = lon.isNotNull() & lat.isNotNull() & ~F.isnan(lon) & ~F.isnan(lat)
-    return F.when(real, F.lit(r * RES_UNIT) + y * F.lit(ROW_UNIT) + x)
+    return F.when(real, F.lit(r * RES_UNIT) + row_of(lat, r) * F.lit(ROW_UNIT) + column_of(lon, r))
 
 
 def cell_resolution(cell: Column) -> Column:

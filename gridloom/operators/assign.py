@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.errors import ArgumentError
-from gridloom.functions.grid import lonlat_to_cell, wrap_lon
+from gridloom.functions.grid import RES_UNIT, ROW_UNIT, column_of, lonlat_to_cell, row_of, wrap_lon
 from gridloom.functions.values import KERNELS
 
 MIN_WEIGHT = 1e-9
+#: Sub-points a side up to which overlay_even writes them out one by one.
+WRITTEN_OUT = 8
 
 
 def forward(pixels: DataFrame, resolution: int, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -50,6 +52,46 @@ def overlay(pixels: DataFrame, resolution: int, subsamples: int, points: Column,
     return with_cells.withColumn("_hit", F.explode(hits)).select(*pixels.columns, "_hit.cell", "_hit.w")
 
 
+def counted(parts: list[Column]) -> Column:
+    """Array of part + 2^30 * (how many are equal) at the first of equal parts; null at the others and at null parts."""
+    out = []
+    for i, p in enumerate(parts):
+        n = F.shiftleft(sum((F.when(p == q, 1).otherwise(0) for q in parts[i + 1 :]), F.lit(1)).cast("long"), 30)
+        seen = [p == q for q in parts[:i]]
+        out.append(F.when(~F.greatest(*seen, F.lit(False)), p + n) if seen else p + n)
+    return F.array(*out)
+
+
+def overlay_even(pixels: DataFrame, resolution: int, subsamples: int, lon: Column, lat: Column, dlon: Column, dlat: Column) -> DataFrame:
+    """overlay with sub_points of pixels whose sides follow meridians and parallels.
+
+    Such points form k rows by k columns, so latitudes and longitudes are counted apart, 2k in place of k x k, by plain expressions that
+    Spark compiles (functions on arrays it interprets). Only a pixel wider than 180 degrees at a pole can meet a cell in two rows, whose w add up.
+    """
+    k = subsamples
+    if not 2 <= k <= WRITTEN_OUT:
+        return overlay(pixels, resolution, k, sub_points(k, lon, lat, dlon, dlat))
+    low, past = F.lit((1 << 30) - 1), F.lit(1 << 29)
+    offset = [(i + 0.5) / k - 0.5 for i in range(k)]
+    named = lambda what: [f"_{what}{i}" for i in range(k)]
+    on_rows = pixels.select(*pixels.columns, lon.alias("_lon"), dlon.alias("_dlon"), *[(lat + dlat * o).alias(c) for o, c in zip(offset, named("y"))])
+    # A row beyond a pole is marked, as its longitudes are turned.
+    y = [F.col(c) for c in named("y")]
+    folded = [F.when(F.abs(a) > 90, F.signum(a) * 180.0 - a).otherwise(a) for a in y]
+    rows = [F.when(~F.isnan(a), row_of(f, resolution) + F.when(F.abs(a) > 90, past).otherwise(0)).alias(c) for a, f, c in zip(y, folded, named("r"))]
+    by_row = on_rows.select(*pixels.columns, "_lon", "_dlon", *rows)
+    by_row = by_row.select(*pixels.columns, "_lon", "_dlon", F.explode(counted([F.col(c) for c in named("r")])).alias("_row")).where("_row IS NOT NULL")
+    turn = F.when(F.col("_row").bitwiseAND(past) != 0, 180.0).otherwise(0.0)
+    by_row = by_row.select(*pixels.columns, "_row", *[(F.col("_lon") + F.col("_dlon") * o + turn).alias(c) for o, c in zip(offset, named("x"))])
+    columns = [F.when(~F.isnan(c), column_of(wrap_lon(F.col(c)), resolution)).alias(a) for c, a in zip(named("x"), named("c"))]
+    by_cell = by_row.select(*pixels.columns, "_row", *columns)
+    by_cell = by_cell.select(*pixels.columns, "_row", F.explode(counted([F.col(c) for c in named("c")])).alias("_column")).where("_column IS NOT NULL")
+    part = lambda c: F.col(c).bitwiseAND(low)
+    cell = F.lit(resolution * RES_UNIT) + part("_row").bitwiseAND(past - 1) * F.lit(ROW_UNIT) + part("_column")
+    w = F.shiftright("_row", 30) * F.shiftright("_column", 30) / F.lit(float(k * k))
+    return by_cell.select(*pixels.columns, cell.alias("cell"), w.alias("w"))
+
+
 def stencil(x: Column, y: Column, interp: str) -> Column:
     """Array of (row, col, weight) of the pixels around a point in pixel coordinates (pixel centres at half-numbers)."""
     if interp == "nearest":

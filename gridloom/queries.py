@@ -268,8 +268,8 @@ def overlay_weighted(spark, d):
     SELECT cell, round(sum(b2 / {K * K}) / sum(1.0 / {K * K}), 4) AS b2_mean, round(sum(1.0 / {K * K}), 4) AS b2_count FROM s GROUP BY cell""",
 )
 def overlay_all(spark, d):
-    points = assign.sub_points(K, F.col("lon"), F.col("lat"), F.lit(SIZE), F.lit(SIZE))
-    out = stats.summarise(assign.overlay(pixels(spark, d), RES, K, points), ["b2"], ["mean", "count"], weight="w")
+    placed = assign.overlay_even(pixels(spark, d), RES, K, F.col("lon"), F.col("lat"), F.lit(SIZE), F.lit(SIZE))
+    out = stats.summarise(placed, ["b2"], ["mean", "count"], weight="w")
     return rounded(out, "b2_mean", "b2_count")
 
 

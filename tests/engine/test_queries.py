@@ -79,3 +79,42 @@ def test_aggregate_rules(spark):
         aggregate(df, 4, columns="nope")
     with pytest.raises(Exception, match="negative"):
         aggregate(df.withColumn("npix", -df.npix), 4).collect()
+
+
+def assert_plan_is_compiled(df):
+    """Functions on arrays with a lambda are interpreted, value by value."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan, plan
+
+
+def test_overlay_all_is_compiled(spark):
+    assert_plan_is_compiled(catalog.QUERIES["overlay_all"](spark, DATA))
+
+
+@pytest.mark.parametrize("k", [2, 3, 8, 9])
+def test_overlay_even_equals_points(spark, k):
+    from pyspark.sql import functions as F
+
+    from gridloom.operators.assign import overlay, overlay_even, sub_points
+
+    nan, inf = float("nan"), float("inf")
+    lons, lats = [-180.0, -179.9, -22.5, 0.0, 13.37, 179.999, 180.0, 200.0, None, nan, inf], [-90.0, -88.0, -14.4775, 0.0, 41.3, 89.9, 90.0, None, nan]
+    sizes = [(10.0, 10.0), (0.01, 60.0), (170.0, 3.0), (25.0, 100.0), (-10.0, -10.0), (None, 1.0), (1.0, nan)]
+    rows = [(i, lon, lat, *s) for i, (lon, lat, s) in enumerate((a, b, s) for a in lons for b in lats for s in sizes)]
+    px = spark.createDataFrame(rows, "i long, lon double, lat double, dlon double, dlat double")
+    at = [F.col(c) for c in ("lon", "lat", "dlon", "dlat")]
+    for resolution in (0, 4, 29):
+        found = [df.select("i", "cell", "w").collect() for df in (overlay_even(px, resolution, k, *at), overlay(px, resolution, k, sub_points(k, *at)))]
+        even, points = ({(x["i"], x["cell"]): x["w"] for x in rows} for rows in found)
+        assert len(even) == len(found[0]) and even == points and len(even) >= 280
+
+
+def test_overlay_even_counts_wide_pixels(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.operators.assign import overlay, overlay_even, sub_points
+
+    px = spark.createDataFrame([(0, 5.0, 84.0), (1, -100.0, -90.0)], "i long, lon double, lat double")
+    at = [F.col("lon"), F.col("lat"), F.lit(500.0), F.lit(30.0)]
+    total = [{(x["i"], x["cell"]): x["w"] for x in df.groupBy("i", "cell").agg(F.sum("w").alias("w")).collect()} for df in (overlay_even(px, 3, 8, *at), overlay(px, 3, 8, sub_points(8, *at)))]
+    assert total[0] == total[1] and sum(total[0].values()) == 2.0
