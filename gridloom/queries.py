@@ -254,8 +254,8 @@ K, SIZE = 4, 10.0
 )
 def overlay_weighted(spark, d):
     px = pixels(spark, d).where((F.abs("lat") < 80) & (F.abs("lon") < 170))
-    points = assign.sub_points(K, F.col("lon"), F.col("lat"), F.lit(SIZE), F.lit(SIZE))
-    out = stats.summarise(assign.overlay(px, RES, K, points), ["b2"], ["mean", "count"], weight="w")
+    placed = assign.overlay_even(px, RES, K, F.col("lon"), F.col("lat"), F.lit(SIZE), F.lit(SIZE))
+    out = stats.summarise(placed, ["b2"], ["mean", "count"], weight="w")
     return rounded(out, "b2_mean", "b2_count")
 
 

@@ -87,8 +87,9 @@ def assert_plan_is_compiled(df):
     assert "lambda" not in plan, plan
 
 
-def test_overlay_all_is_compiled(spark):
-    assert_plan_is_compiled(catalog.QUERIES["overlay_all"](spark, DATA))
+@pytest.mark.parametrize("name", ["overlay_all", "overlay_weighted"])
+def test_overlay_is_compiled(spark, name):
+    assert_plan_is_compiled(catalog.QUERIES[name](spark, DATA))
 
 
 @pytest.mark.parametrize("k", [2, 3, 8, 9])
