@@ -66,7 +66,7 @@ def overlay_even(pixels: DataFrame, resolution: int, subsamples: int, lon: Colum
     """overlay with sub_points of pixels whose sides follow meridians and parallels.
 
     Such points form k rows by k columns, so latitudes and longitudes are counted apart, 2k in place of k x k, by plain expressions that
-    Spark compiles (functions on arrays it interprets). Only a pixel wider than 180 degrees at a pole can meet a cell in two rows, whose w add up.
+    Spark compiles (functions on arrays it interprets). A pixel at a pole gets two rows for a cell that it meets on both sides of the pole; their w add up.
     """
     k = subsamples
     if not 2 <= k <= WRITTEN_OUT:
@@ -78,12 +78,14 @@ def overlay_even(pixels: DataFrame, resolution: int, subsamples: int, lon: Colum
     # A row beyond a pole is marked, as its longitudes are turned.
     y = [F.col(c) for c in named("y")]
     folded = [F.when(F.abs(a) > 90, F.signum(a) * 180.0 - a).otherwise(a) for a in y]
-    rows = [F.when(~F.isnan(a), row_of(f, resolution) + F.when(F.abs(a) > 90, past).otherwise(0)).alias(c) for a, f, c in zip(y, folded, named("r"))]
+    # Clamping to the grid takes null and NaN for its last row or column, so they are left out before.
+    rows = [F.when(a.isNotNull() & ~F.isnan(a), row_of(f, resolution) + F.when(F.abs(a) > 90, past).otherwise(0)).alias(c) for a, f, c in zip(y, folded, named("r"))]
     by_row = on_rows.select(*pixels.columns, "_lon", "_dlon", *rows)
     by_row = by_row.select(*pixels.columns, "_lon", "_dlon", F.explode(counted([F.col(c) for c in named("r")])).alias("_row")).where("_row IS NOT NULL")
     turn = F.when(F.col("_row").bitwiseAND(past) != 0, 180.0).otherwise(0.0)
     by_row = by_row.select(*pixels.columns, "_row", *[(F.col("_lon") + F.col("_dlon") * o + turn).alias(c) for o, c in zip(offset, named("x"))])
-    columns = [F.when(~F.isnan(c), column_of(wrap_lon(F.col(c)), resolution)).alias(a) for c, a in zip(named("x"), named("c"))]
+    real = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    columns = [F.when(real(F.col(c)), column_of(wrap_lon(F.col(c)), resolution)).alias(a) for c, a in zip(named("x"), named("c"))]
     by_cell = by_row.select(*pixels.columns, "_row", *columns)
     by_cell = by_cell.select(*pixels.columns, "_row", F.explode(counted([F.col(c) for c in named("c")])).alias("_column")).where("_column IS NOT NULL")
     part = lambda c: F.col(c).bitwiseAND(low)
