@@ -94,21 +94,19 @@ def overlay_even(pixels: DataFrame, resolution: int, subsamples: int, lon: Colum
     return by_cell.select(*pixels.columns, cell.alias("cell"), w.alias("w"))
 
 
-def stencil(x: Column, y: Column, interp: str) -> Column:
-    """Array of (row, col, weight) of the pixels around a point in pixel coordinates (pixel centres at half-numbers)."""
+def stencil(cells: DataFrame, keys: tuple[str, ...], interp: str) -> DataFrame:
+    """keys, x, y, row, col of the pixels around each point in pixel coordinates (pixel centres at half-numbers).
+
+    A fixed list of numbers is exploded and rows and columns follow from it, so that Spark compiles the whole.
+    """
+    at = [F.col(c) for c in (*keys, "x", "y")]
     if interp == "nearest":
-        return F.array(F.struct(F.floor(y).cast("long").alias("row"), F.floor(x).cast("long").alias("col"), F.lit(1.0).alias("k")))
-    reach, kernel = KERNELS[interp]
-    cx, cy = x - 0.5, y - 0.5
-    x0, y0 = F.floor(cx), F.floor(cy)
+        return cells.select(*at, F.floor("y").cast("long").alias("row"), F.floor("x").cast("long").alias("col"))
+    reach = KERNELS[interp][0]
     n = 2 * reach
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n * n - 1)),
-        lambda i: F.struct(
-            (y0 + F.floor(i / n) - (reach - 1)).cast("long").alias("row"), (x0 + i % n - (reach - 1)).cast("long").alias("col"),
-            (kernel(cx - (x0 + i % n - (reach - 1))) * kernel(cy - (y0 + F.floor(i / n) - (reach - 1)))).alias("k"),
-        ),
-    )
+    first = lambda c: F.floor(F.col(c) - 0.5) - (reach - 1)
+    numbered = cells.select(*at, first("y").alias("_top"), first("x").alias("_left"), F.explode(F.array(*map(F.lit, range(n * n)))).alias("_i"))
+    return numbered.select(*at, (F.col("_top") + F.floor(F.col("_i") / n)).cast("long").alias("row"), (F.col("_left") + F.col("_i") % n).cast("long").alias("col"))
 
 
 def sample(cells: DataFrame, pixels: DataFrame, bands: list[str], interp: str = "nearest", keys: tuple[str, ...] = ("cell",)) -> DataFrame:
@@ -120,8 +118,9 @@ def sample(cells: DataFrame, pixels: DataFrame, bands: list[str], interp: str =
     if interp not in ("nearest", *KERNELS):
         raise ArgumentError("interp must be nearest, bilinear, bicubic or lanczos")
     wide = interp in ("bicubic", "lanczos")
-    entries = cells.withColumn("_s", F.explode(stencil(F.col("x"), F.col("y"), interp))).select(*keys, "x", "y", F.col("_s.row").alias("row"), F.col("_s.col").alias("col"), F.col("_s.k").alias("k"))
-    joined = entries.join(pixels.select("row", "col", *bands), ["row", "col"], "left" if wide else "inner")
+    joined = stencil(cells, keys, interp).join(pixels.select("row", "col", *bands), ["row", "col"], "left" if wide else "inner")
+    kernel = KERNELS[interp][1] if interp in KERNELS else None
+    joined = joined.select(*keys, "x", "y", "row", "col", *bands, (kernel(F.col("x") - 0.5 - F.col("col")) * kernel(F.col("y") - 0.5 - F.col("row")) if kernel else F.lit(1.0)).alias("k"))
     both = []
     whole = F.min(F.when(F.greatest(*[F.col(b).isNull().cast("int") for b in bands], F.lit(0)) == 1, 0).otherwise(1)) == 1
     near = F.greatest(F.lit(0.0), 1 - F.abs(F.col("x") - 0.5 - F.col("col"))) * F.greatest(F.lit(0.0), 1 - F.abs(F.col("y") - 0.5 - F.col("row")))

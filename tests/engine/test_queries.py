@@ -1,3 +1,4 @@
+import math
 import os
 from collections import Counter
 
@@ -93,6 +94,21 @@ def test_overlay_is_compiled(spark, name):
     assert_plan_is_compiled(catalog.QUERIES[name](spark, DATA))
 
 
+@pytest.mark.parametrize("name", ["centroid_nearest", "centroid_bilinear", "centroid_bicubic", "centroid_lanczos"])
+def test_centroid_is_compiled(spark, name):
+    assert_plan_is_compiled(catalog.QUERIES[name](spark, DATA))
+
+
+@pytest.mark.parametrize("interp, reach", [("nearest", 0), ("bilinear", 1), ("bicubic", 2), ("lanczos", 3)])
+def test_stencil(spark, interp, reach):
+    from gridloom.operators.assign import stencil
+
+    points = [(1, 0.5, 0.5), (2, -3.2, 7.49), (3, 5.0, 2.999)]
+    found = stencil(spark.createDataFrame(points, "cell long, x double, y double"), ("cell",), interp).collect()
+    span = lambda p: [math.floor(p)] if reach == 0 else range(math.floor(p - 0.5) - reach + 1, math.floor(p - 0.5) + reach + 1)
+    assert sorted(tuple(r) for r in found) == sorted((i, x, y, row, col) for i, x, y in points for row in span(y) for col in span(x))
+
+
 @pytest.mark.parametrize("k", [2, 3, 8, 9])
 def test_overlay_even_equals_points(spark, k):
     from pyspark.sql import functions as F
